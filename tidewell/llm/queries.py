@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, quality_rules
+from . import near_dedup, quality_rules, suffix_arrays, suffix_trees
 from .common import read_table
 
 
@@ -15,11 +15,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "failed")
 
 
+def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.digests(read_table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_tree_dedup": op3_suffix_tree_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
