@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, quality_rules, suffix_arrays, suffix_trees
+from . import bpe_automaton, near_dedup, packing, quality_rules, suffix_arrays, suffix_trees
 from .common import read_table
 
+#: Where vocabulary files of public tokenizers are found; a parameter of the operators.
+try:
+    from public_tokenizers import path as vocabulary
+except ImportError:
+    vocabulary = "/opt/tokenizers/{}".format
+
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(read_table(spark, sf_dir, "documents"))
     return quality_rules.apply_policy(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "failed")
 
 
+def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.coded(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_trees.digests(read_table(spark, sf_dir, "documents"))
 
@@ -23,13 +33,19 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_arrays.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe_automaton": op2_bpe_automaton,
     "op3_suffix_tree_dedup": op3_suffix_tree_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_vector_packing": op8_vector_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
