@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_automaton, near_dedup, packing, quality_rules, suffix_arrays, suffix_trees
+from . import bpe_automaton, media, near_dedup, packing, quality_rules, suffix_arrays, suffix_trees, toxicity
 from .common import read_table
 
 #: Where vocabulary files of public tokenizers are found; a parameter of the operators.
@@ -29,6 +30,24 @@ def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_trees.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media.stored(read_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_arrays.digests(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +63,8 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_automaton": op2_bpe_automaton,
     "op3_suffix_tree_dedup": op3_suffix_tree_dedup,
+    "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
+    "op6_media_columns": op6_media_columns,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_vector_packing": op8_vector_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
