@@ -25,8 +25,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -131,7 +132,7 @@ def _hub_rank(ids: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return np.where(kind == 0, ids.view(U64), textkit.mix(ids.view(U64) ^ (kind.astype(U64) << U64(48))))
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _stars(keys: np.ndarray, ids: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the rows by key and hub rank, and for each its hub's row."""
     order = np.lexsort((ids, _hub_rank(ids, kind), keys))
     new = np.ones(len(order), bool)
@@ -139,56 +140,65 @@ def _stars(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, kind: np.ndarra
     return order, order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
 
 
+#: Rows between tasks. Of a bucket: its key, its hub in the task, kind (+ SEVERAL if the task has more members). Of a pair: b, a, kind + PAIR.
+_BUCKET = "key long, id long, mark long"
+SEVERAL, PAIR = 16, 32
+
+
 def _own_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's documents: pairs within its own buckets (a, b), and one row (key, hub) for each bucket."""
-    kinds = np.repeat(np.arange(SIDE), SIDE)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        keys = table_keys(_signatures(batch.column(2)))
-        who, kind = np.repeat(np.arange(len(ids)), SIDE * SIDE), np.tile(kinds, len(ids))
-        keys = keys.reshape(-1)
-        order, hub = _stars(keys, ids[who], sizes[who], kind)
-        a, b, k = who[order], who[hub], kind[order]
-        lead = order == hub
-        yield _rows(keys[hub[lead]], ids[b[lead]], sizes[b[lead]], k[lead], np.zeros(int(lead.sum()), np.int64))
-        a, b, k = a[~lead], b[~lead], k[~lead]
-        once = np.unique(np.stack([a, b, (k > 0).astype(a.dtype)], 1), axis=0) if len(a) else np.zeros((0, 3), int)
-        a, b, k = once[:, 0], once[:, 1], once[:, 2]
-        yield _rows(textkit.mix(ids[a].view(U64)), ids[a], sizes[a], k, ids[b], pair=True)
+    """Of a task's documents: one row for each bucket, and the pairs of its other members with its hub."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            batch = whole.slice(at, 2048)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = table_keys(_signatures(batch.column(1))).reshape(-1)
+            who, kind = np.repeat(np.arange(len(ids)), SIDE * SIDE), np.tile(np.repeat(np.arange(SIDE), SIDE), len(ids))
+            order, hub = _stars(keys, ids[who], kind)
+            a, b, k = who[order], who[hub], kind[order]
+            lead = order == hub
+            more = np.append(~lead[1:], False)
+            yield _rows(keys[order[lead]].view(np.int64), ids[a[lead]], k[lead] + SEVERAL * more[lead])
+            once = np.unique(np.stack([a[~lead], b[~lead], k[~lead]], 1), axis=0)
+            yield _rows(ids[once[:, 1]], ids[once[:, 0]], once[:, 2] + PAIR)
 
 
-_BUCKET = "key long, id long, n int, kind byte, hub long, pair boolean"
+def _rows(key: np.ndarray, ids: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(mark)], names=["key", "id", "mark"])
 
 
-def _rows(key, ids, n, kind, hub, pair=False) -> pa.RecordBatch:
-    arrays = [key.view(np.int64), ids, n.astype(np.int32), kind.astype(np.int8), hub, np.full(len(ids), pair)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "id", "n", "kind", "hub", "pair"])
+_PAIR = "a long, b long, kind long, wide boolean"
 
 
 def _all_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows of whole keys: pairs (a, b) with the buckets' hubs, and the pairs that tasks found before."""
+    """Of the rows of whole keys: pairs (a, b) with the buckets' hubs, and the pairs that tasks found before. wide: the bucket may have further members."""
     held = []
     for batch in batches:
-        pair = batch.column(5).to_numpy(zero_copy_only=False)
-        if pair.any():
-            done = batch.filter(batch.column(5))
-            yield pa.RecordBatch.from_arrays([done.column(1), done.column(4), done.column(3)], names=["a", "b", "kind"])
-        if not pair.all():
-            held.append(batch.filter(pa.array(~pair)))
+        mark = batch.column(2).to_numpy(zero_copy_only=False)
+        found = mark >= PAIR
+        if found.any():
+            done = batch.filter(pa.array(found))
+            yield _pairs(done.column(1).to_numpy(), done.column(0).to_numpy(), mark[found] - PAIR, np.ones(int(found.sum()), bool))
+        if not found.all():
+            held.append(batch.filter(pa.array(~found)))
     if not held:
         return
     table = pa.Table.from_batches(held)
-    keys, ids, sizes, kind = (table.column(k).to_numpy() for k in range(4))
-    order, hub = _stars(keys.view(U64), ids, sizes, kind)
-    a, b, k = ids[order], ids[hub], kind[order]
-    far = a != b
-    once = np.unique(np.stack([a[far], b[far], (k[far] > 0).astype(np.int64)], 1), axis=0) if far.any() else np.zeros((0, 3), np.int64)
+    keys, ids, mark = (table.column(k).to_numpy() for k in range(3))
+    kind = mark & (SEVERAL - 1)
+    order, hub = _stars(keys.view(U64), ids, kind)
+    new = order == hub
+    start = np.flatnonzero(new)
+    members = np.add.reduceat(1 + (mark[order] >= SEVERAL), start)
+    wide = np.repeat(members > 2, np.diff(np.append(start, len(order))))
+    rows = np.stack([ids[order], ids[hub], kind[order], wide.astype(np.int64)], 1)[~new]
+    once = np.unique(rows, axis=0)
     for at in range(0, len(once), 1 << 16):
         part = once[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(part[:, 2].astype(np.int8))], names=["a", "b", "kind"])
+        yield _pairs(part[:, 0], part[:, 1], part[:, 2], part[:, 3] > 0)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, kind: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a, b, kind, wide)], names=["a", "b", "kind", "wide"])
 
 
 def _plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
@@ -244,30 +254,52 @@ def _prefix_rows(held: DataFrame, n: int) -> DataFrame:
 def _missed(held: DataFrame, label: DataFrame, n: int, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of different components, by a prefix filter: exact for the documents in ``held``.
 
-    Sets with 100 * intersection >= percent * union share one of the size - ceil(percent * size / 100) + 1 shingles that
-    come first in any common order; here the rarest come first. For each shingle, every member is paired with one
-    member of each component other than its own that shares it, and with all of the smaller components' members.
+    Sets with 100 * intersection >= percent * union have a common shingle among the first size - ceil(percent * size / 100)
+    + 1 of each in any common order; here the rarest come first. The first that they share, at places i and j, leaves
+    min(size_x - i, size_y - j) that can be common, which must be at least percent / (100 + percent) of both sizes. A text
+    that differs from a large group by shingles of its own has these in front, so it is paired with few or none.
     """
     rows = _prefix_rows(held, n)
     often = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    ranked = rows.join(often, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    common = rows.join(often, "shingle").select("doc_id", "size", "shingle", "n")
 
     def prefix(key: tuple, batch: pa.Table) -> pa.Table:
         size = batch.column("size")[0].as_py()
-        order = np.lexsort((batch.column("shingle").to_numpy(), batch.column("n").to_numpy()))
-        keep = order[: size - (-(-percent * size // 100)) + 1]
-        keep = keep[batch.column("n").to_numpy()[keep] > 1]
-        return batch.take(pa.array(keep)).select(["doc_id", "size", "shingle"])
-
-    heads = ranked.groupBy("doc_id").applyInArrow(prefix, "doc_id long, size int, shingle long")
-    heads = materialized(heads.join(label, heads["doc_id"] == label["node"], "left").select("doc_id", "size", "shingle", F.coalesce("component", "doc_id").alias("component")), "near-prefix")
+        own = size - batch.num_rows  # shingles that no other document has come first
+        keep = size - (-(-percent * size // 100)) + 1 - own
+        order = np.lexsort((batch.column("shingle").to_numpy(), batch.column("n").to_numpy()))[: max(0, keep)]
+        out = batch.take(pa.array(order)).select(["doc_id", "size", "shingle"])
+        return out.append_column("place", pa.array(np.arange(own, own + len(order)), pa.int64()))
+
+    heads = common.groupBy("doc_id").applyInArrow(prefix, "doc_id long, size int, shingle long, place long")
+    heads = heads.join(label, heads["doc_id"] == label["node"], "left").select("doc_id", "size", "shingle", "place", F.coalesce("component", "doc_id").alias("component"))
+    heads = materialized(heads, "near-prefix")
     mixed = heads.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("shingle")
-    heads = heads.join(mixed, "shingle")
-    x, y = heads.select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "size", "component")]), heads.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "size", "component")])
-    pairs = x.join(y, "shingle").filter(f"component_x <> component_y AND doc_id_x > doc_id_y AND 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)")
+    heads = heads.join(mixed, "shingle", "left_semi").withColumn("room", F.col("size") - F.col("place"))
+    x, y = (heads.select("shingle", *[F.col(c).alias(f"{c}_{v}") for c in ("doc_id", "size", "component", "room")]) for v in "xy")
+    enough = f"{100 + percent} * least(room_x, room_y) >= {percent} * (size_x + size_y)"
+    pairs = x.join(y, "shingle").filter(f"component_x <> component_y AND doc_id_x > doc_id_y AND {enough}")
     return pairs.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
 
 
+#: Slots of the filter of ids, a bitmap of 512 KB at most.
+SLOTS = 1 << 22
+
+
+def _slots(ids: DataFrame) -> Column:
+    """Whether an id's hash slot is one of those of ``ids``: spares most other texts the shuffle, as long as ids are fewer than slots."""
+    held = np.zeros(SLOTS, bool)
+    held[ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy(int)] = True
+    bits = ids.sparkSession.sparkContext.broadcast(np.packbits(held))
+
+    @F.pandas_udf("boolean")
+    def near(slot: pd.Series) -> pd.Series:
+        x = slot.to_numpy()
+        return pd.Series((bits.value[x >> 3] >> (7 - (x & 7))) & 1 > 0)
+
+    return near(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int"))
+
+
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row a row of ``docs``. component_id is the smallest id that links reach."""
     spark = docs.sparkSession
@@ -278,22 +310,23 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     same = local.join(sets, ["h1", "h2", "n_shingles"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = sets.select(F.col("rep").alias("doc_id"), "n_shingles", "sig")
 
-    keyed = reps.mapInArrow(_own_buckets, _BUCKET).repartition(partitions(spark), "key")
-    stars = keyed.mapInArrow(_all_buckets, "a long, b long, kind byte").groupBy("a", "b").agg(F.min("kind").alias("kind"))
+    keyed = reps.select("doc_id", "sig").mapInArrow(_own_buckets, _BUCKET).repartition(partitions(spark), "key")
+    stars = keyed.mapInArrow(_all_buckets, _PAIR).groupBy("a", "b").agg(F.max("wide").alias("wide"))
     stars = materialized(stars, "near-stars")
     ids = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    held = materialized(texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    near = _slots(ids)
+    held = materialized(texts(docs).filter(near).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
     sketch_held = reps.join(ids, "doc_id", "left_semi")
 
     likely = materialized(_plausible(stars, sketch_held, percent), "near-likely")
     links = materialized(confirm(likely, held, n, percent), "near-links")
     label = materialized(components(links), "near-labels")
 
-    # The rest: documents with an unconfirmed hub in another component.
+    # The rest: all members of buckets of three or more of which some are in another component than their hub.
     name = lambda c, x: label.select(F.col("node").alias(c), F.col("component").alias(x))
-    apart = stars.join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left")
-    apart = apart.filter("coalesce(ca, a) <> coalesce(cb, b)")
-    open_ids = apart.select(F.col("a").alias("doc_id")).unionByName(apart.select(F.col("b").alias("doc_id"))).distinct()
+    wide = stars.filter("wide").join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left")
+    hubs = wide.filter("coalesce(ca, a) <> coalesce(cb, b)").select("b").distinct()
+    open_ids = wide.join(hubs, "b", "left_semi").select(F.col("a").alias("doc_id")).unionByName(hubs.select(F.col("b").alias("doc_id"))).distinct()
     rest = materialized(held.join(open_ids, "doc_id", "left_semi"), "near-rest")
     missed = _plausible(_missed(rest, label, n, percent), sketch_held, percent)
     more = materialized(confirm(missed, rest, n, percent), "near-links")
