@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, media, near_dedup, packing, quality_rules, suffix_arrays, suffix_trees, toxicity
+from . import bpe_automaton, media, near_dedup, packing, quality_rules, suffix_arrays, suffix_trees, templates, toxicity
 from .common import read_table
 
 #: Where vocabulary files of public tokenizers are found; a parameter of the operators.
@@ -22,6 +22,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "failed")
 
 
+def op1_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extracted(read_table(spark, sf_dir, "pages"))
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.coded(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -61,6 +65,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_template_text": op1_template_text,
     "op2_bpe_automaton": op2_bpe_automaton,
     "op3_suffix_tree_dedup": op3_suffix_tree_dedup,
     "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
