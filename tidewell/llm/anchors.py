@@ -29,7 +29,7 @@ U64 = np.uint64
 #: Stands for a null id inside the operators; as the smallest id, such a row comes first.
 NO_ID = -(1 << 63)
 #: Windows that a task settles among themselves at a time.
-HELD_WINDOWS = 6_000_000
+HELD_WINDOWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -132,6 +132,30 @@ def _anchor_rows(key: np.ndarray, ids: np.ndarray, place: np.ndarray, kind: int)
         )
 
 
+#: Documents, about, whose anchors tell how leading tokens are spread, and anchors of one document.
+SAMPLE_DOCS, SAMPLE_ANCHORS = 4096, 64
+
+
+def sampled_leads(docs: DataFrame, scheme: Scheme) -> list[bytes]:
+    """Leading tokens of anchors of some documents, for splitters alone: what they are has no effect on results."""
+    step = max(1, docs.select("doc_id").count() // SAMPLE_DOCS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offs in textkit.blocks(batches):
+            tokens = scheme.tokens(data, offs)
+            row, place, _, _, key = _block_anchors(tokens, scheme)
+            order = np.lexsort((key, row))
+            first = np.searchsorted(row, np.arange(len(offs)))
+            at = order[np.arange(len(row)) - first[row[order]] < SAMPLE_ANCHORS]
+            begin = tokens.first[row[at]] + place[at]
+            lo, to = tokens.slices(begin, begin + scheme.k)
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip(lo.tolist(), to.tolist(), strict=True)], pa.binary())], names=["lead"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    return [bytes(r.lead) for r in some.mapInArrow(run, "lead binary").collect()]
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and offsets of a list column without nulls inside; a null list is empty."""
     if column.null_count:
@@ -141,24 +165,35 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: lead: the anchor's leading tokens. slice: the text of the windows lo .. lo + windows - 1. A row with no windows is a settled span.
-CONTEXT = "lead binary, doc_id long, lo long, windows int, anchor int, span long, slice binary"
+CONTEXT = "bucket long, lead binary, doc_id long, lo long, windows int, anchor int, span long, slice binary"
 
 
 def _span(lo: np.ndarray, to: np.ndarray) -> np.ndarray:
     return (lo.astype(np.int64) << 32) | to
 
 
-def contexts(docs: DataFrame, anchors: DataFrame, scheme: Scheme) -> DataFrame:
+def _context_rows(bucket, lead, doc, lo, windows, anchor, span, piece) -> pa.RecordBatch:
+    names = [c.split()[0] for c in CONTEXT.split(", ")]
+    arrays = [pa.array(bucket), pa.array(lead, pa.binary()), pa.array(doc), pa.array(lo.astype(np.int64)), pa.array(windows.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(span), pa.array(piece, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def contexts(docs: DataFrame, anchors: DataFrame, scheme: Scheme, bucket_of: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """Slices of text around the repeated anchors, without the windows that the task could settle; these come as spans (start << 32 | end, in tokens of the text)."""
     n = scheme.n
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
         doc, lo, count, anchor, begin, data, token_start, token_end, hashes = held
-        row = np.repeat(np.arange(len(doc)), count)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        order = np.lexsort((lo[row] + place, doc[row], hashes))
-        known = np.zeros(len(row), bool)
-        known[order[1:]] = hashes[order][1:] == hashes[order][:-1]
+        # Windows by document and place, so that of equal ones the first stays in front.
+        inner = np.lexsort((lo, doc))
+        first_window = (np.cumsum(count) - count)[inner]
+        doc, lo, count, anchor, begin = doc[inner], lo[inner], count[inner], anchor[inner], begin[inner]
+        before = np.cumsum(count) - count
+        hashes = hashes[np.repeat(first_window - before, count) + np.arange(int(count.sum()))]
+        row = np.repeat(np.arange(len(doc), dtype=np.int32), count)
+        place = (np.arange(len(row)) - np.repeat(before, count)).astype(np.int32)
+        known = textkit.later(hashes)
+        del hashes
         # Runs of windows of one anchor that are known, or not.
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (known[1:] != known[:-1])
@@ -166,28 +201,29 @@ def contexts(docs: DataFrame, anchors: DataFrame, scheme: Scheme) -> DataFrame:
         size = np.diff(np.append(at, len(row)))
         r, p, done = row[at], place[at], known[at]
         first = lo[r] + p
-        token = begin[r] + p
-        byte_lo = token_start[token]
-        byte_to = token_end[token + size + n - 2]
-        lead_lo = token_start[begin[r] + anchor[r]]
-        lead_to = token_end[begin[r] + anchor[r] + scheme.k - 1]
         raw = data.tobytes()
-        for a in range(0, len(at), 1 << 14):
+        # Settled windows of neighbouring anchors are one span.
+        k = np.flatnonzero(done)
+        if len(k):
+            joins = np.append(False, (doc[r[k]][1:] == doc[r[k]][:-1]) & (first[k][1:] == first[k][:-1] + size[k][:-1]))
+            head = np.flatnonzero(~joins)
+            tail = np.append(head[1:], len(k)) - 1
+            begin_at, end_at = first[k[head]], first[k[tail]] + size[k[tail]] + n - 1
+            names = doc[r[k[head]]]
+            for a in range(0, len(head), 1 << 15):
+                q = slice(a, a + (1 << 15))
+                empty = [None] * len(names[q])
+                yield _context_rows(textkit.mix(names[q].view(U64)).view(np.int64), empty, names[q], begin_at[q], np.zeros(len(empty)), np.zeros(len(empty)), _span(begin_at[q], end_at[q]), empty)
+        k = np.flatnonzero(~done)
+        r, p, first, size = r[k], p[k], first[k], size[k]
+        token = begin[r] + p
+        byte_lo, byte_to = token_start[token].tolist(), token_end[token + size + n - 2].tolist()
+        lead_lo, lead_to = token_start[begin[r] + anchor[r]].tolist(), token_end[begin[r] + anchor[r] + scheme.k - 1].tolist()
+        for a in range(0, len(k), 1 << 14):
             q = slice(a, a + (1 << 14))
-            out = done[q]
-            spread = textkit.mix(first[q].astype(U64) ^ textkit.mix(doc[r[q]].view(U64)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([s.tobytes() if o else raw[x:y] for s, o, x, y in zip(spread, out, lead_lo[q].tolist(), lead_to[q].tolist(), strict=True)], pa.binary()),
-                    pa.array(doc[r[q]]),
-                    pa.array(first[q].astype(np.int64)),
-                    pa.array(np.where(out, 0, size[q]).astype(np.int32)),
-                    pa.array((anchor[r[q]] - p[q]).astype(np.int32)),
-                    pa.array(_span(first[q], first[q] + size[q] + n - 1)),
-                    pa.array([None if o else raw[x:y] for o, x, y in zip(out, byte_lo.tolist()[q], byte_to.tolist()[q], strict=True)], pa.binary()),
-                ],
-                names=["lead", "doc_id", "lo", "windows", "anchor", "span", "slice"],
-            )
+            leads = [raw[x:y] for x, y in zip(lead_lo[q], lead_to[q], strict=True)]
+            slices = [raw[x:y] for x, y in zip(byte_lo[q], byte_to[q], strict=True)]
+            yield _context_rows(bucket_of(leads), leads, doc[r[q]], first[q], size[q], anchor[r[q]] - p[q], _span(first[q], first[q] + size[q] + n - 1), slices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -264,7 +300,7 @@ def refine(order: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.nd
     return order[~single], (np.cumsum(new) - 1)[~single]
 
 
-def repeats_of(rows: pa.Table, scheme: Scheme, key_at: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]], size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def repeats_of(rows: pa.Table, scheme: Scheme, key_at: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]], size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """(doc_id, span) of the windows in groups' contexts that also start earlier. rows: whole groups, sorted by group.
 
     key_at(data or codes, starts) gives, one after the other, the keys by which windows at these starts are compared.
@@ -322,9 +358,9 @@ def grouped(scheme: Scheme, key_at: Callable[[np.ndarray, np.ndarray], Iterator[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            open_ = batch.column(3).to_numpy(zero_copy_only=False) > 0
+            open_ = batch.column(4).to_numpy(zero_copy_only=False) > 0
             if not open_.all():
-                yield batch.filter(pa.array(~open_)).select([1, 5])
+                yield batch.filter(pa.array(~open_)).select([2, 6])
             if open_.any():
                 held.append(batch.filter(pa.array(open_)))
         if held:

@@ -1,7 +1,6 @@
 """Exact removal of repeated byte strings by sorted suffixes.
 
-The suffixes that matter (see ``anchors``) are range-partitioned by their leading bytes, between splitters that Spark
-samples. A bucket sorts its suffixes by multikey quicksort with eight bytes as one character: groups that still tie are
+The suffixes that matter (see ``anchors``) are range-partitioned by their leading bytes, between sampled splitters. A bucket sorts its suffixes by multikey quicksort with eight bytes as one character: groups that still tie are
 split by their next eight bytes. What ties on all ``LENGTH`` bytes is a repeated string. Splitters fall between different
 leading bytes, and equal strings have equal leading bytes, so no run of equal suffixes crosses a boundary.
 
@@ -26,6 +25,8 @@ from .common import partitions
 LENGTH = 100
 #: Leading bytes by which suffixes are dealt to buckets.
 LEAD = 32
+#: Buckets for each task, so that tasks have about equal shares.
+BUCKETS_A_TASK = 8
 
 
 def _eight_bytes(data: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
@@ -43,8 +44,12 @@ SCHEME = anchors.Scheme(LENGTH, LEAD, anchors.byte_tokens)
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, span) of identified docs: spans (start << 32 | end, in bytes) whose every byte lies in a string that also starts earlier."""
-    found = anchors.contexts(docs, anchors.repeated_anchors(docs, SCHEME), SCHEME)
-    buckets = found.repartitionByRange(partitions(docs.sparkSession), "lead")
+    tasks = partitions(docs.sparkSession)
+    leads = sorted(anchors.sampled_leads(docs, SCHEME))
+    count = BUCKETS_A_TASK * tasks
+    splitters = np.array([leads[len(leads) * k // count] for k in range(1, count)] if leads else [], f"S{LEAD}")
+    found = anchors.contexts(docs, anchors.repeated_anchors(docs, SCHEME), SCHEME, lambda some: np.searchsorted(splitters, np.array(some, splitters.dtype), "right"))
+    buckets = found.repartition(tasks, "bucket")
     return buckets.mapInArrow(anchors.grouped(SCHEME, _eight_bytes), "doc_id long, span long")
 
 

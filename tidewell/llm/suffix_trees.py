@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import anchors, textkit
 from .common import partitions
@@ -26,8 +25,8 @@ from .common import partitions
 LENGTH = 20
 #: Words of the longest prefix.
 LEAD = 6
-#: Contexts that one group may hold before its prefix grows; more where a task's share of all contexts is larger.
-GROUP_ROWS = 20_000
+#: Groups for each task, at least, that the most frequent prefixes are split into.
+GROUPS_A_TASK = 8
 
 
 def _next_words(codes: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
@@ -38,44 +37,33 @@ def _next_words(codes: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
 SCHEME = anchors.Scheme(LENGTH, LEAD, anchors.word_tokens)
 
 
-def _prefixes(leads: pa.Array) -> np.ndarray:
+def _prefixes(leads: list[bytes]) -> np.ndarray:
     """Hashes of the first 1 .. LEAD words of each lead, by row and length."""
-    data, offs = textkit.text_bytes(leads)
+    data, offs = textkit.text_bytes(pa.array(leads, pa.binary()))
     words = textkit.Words(data, offs)
     sums = textkit.prefix_sums(words.hash)
     first = words.first[:-1]
     return np.stack([textkit.spans_hash(sums, first, np.minimum(first + k, words.first[1:])) for k in range(1, LEAD + 1)], 1)
 
 
-def frequent_prefixes(found: DataFrame) -> DataFrame:
-    """(prefix): those with more contexts than a group may hold; at most a few for each task, as each has its share of all."""
-    least = max(1, GROUP_ROWS // (2 * partitions(found.sparkSession)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_prefixes(b.column(0).filter(pa.compute.greater(b.column(1), 0))).reshape(-1) for b in batches]
-        if held:
-            prefix, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(least, n.sum() // (LEAD * 100))
-            yield pa.RecordBatch.from_arrays([pa.array(prefix[often].view(np.int64)), pa.array(n[often])], names=["prefix", "n"])
-
-    return found.select("lead", "windows").mapInArrow(run, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).filter(F.col("n") >= GROUP_ROWS // 2).select("prefix")
+def frequent_prefixes(leads: list[bytes], groups: int) -> np.ndarray:
+    """Prefixes, sorted, that more than one of ``groups`` leads has; there are at most LEAD * groups."""
+    prefix, n = np.unique(_prefixes(leads), return_counts=True) if leads else (np.zeros(0, np.uint64), np.zeros(0, int))
+    return prefix[n * groups > max(len(leads), groups)]
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, span) of identified docs: spans (start << 32 | end, in words) whose every word lies in a sequence that also starts earlier."""
-    found = anchors.contexts(docs, anchors.repeated_anchors(docs, SCHEME), SCHEME)
-    frequent = np.sort(np.array([r.prefix for r in frequent_prefixes(found).collect()], np.int64).view(np.uint64))
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                prefix = _prefixes(batch.column(0))
-                length = np.minimum(np.isin(prefix, frequent).cumprod(1).sum(1), LEAD - 1)
-                group = np.where(batch.column(3).to_numpy() > 0, prefix[np.arange(len(length)), length], textkit.mix(batch.column(2).to_numpy().view(np.uint64)))
-                yield batch.append_column("group", pa.array(group.view(np.int64)))
-
-    groups = found.mapInArrow(name, anchors.CONTEXT + ", group long").repartition(partitions(docs.sparkSession), "group")
-    return groups.mapInArrow(anchors.grouped(SCHEME, _next_words), "doc_id long, span long")
+    tasks = partitions(docs.sparkSession)
+    frequent = frequent_prefixes(anchors.sampled_leads(docs, SCHEME), GROUPS_A_TASK * tasks)
+
+    def group_of(leads: list[bytes]) -> np.ndarray:
+        prefix = _prefixes(leads)
+        length = np.minimum(np.isin(prefix, frequent).cumprod(1).sum(1), LEAD - 1)
+        return prefix[np.arange(len(length)), length].view(np.int64)
+
+    found = anchors.contexts(docs, anchors.repeated_anchors(docs, SCHEME), SCHEME, group_of)
+    return found.repartition(tasks, "bucket").mapInArrow(anchors.grouped(SCHEME, _next_words), "doc_id long, span long")
 
 
 def _digest(rows, data, offs, row, begin, end) -> pa.RecordBatch:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one block holds (a longer row is a block of its own).
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 U64 = np.uint64
 _WHITE = np.zeros(256, bool)
