@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, media, near_dedup, packing, quality_rules, suffix_arrays, suffix_trees, templates, toxicity
+from . import bpe_automaton, media, near_dedup, packing, quality_rules, suffix_arrays, suffix_trees, templates, toxicity, training_order
 from .common import read_table
 
 #: Where vocabulary files of public tokenizers are found; a parameter of the operators.
@@ -34,6 +34,12 @@ def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_trees.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = training_order.written(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    rows = training_order.sequences(manifest)
+    return rows.select("slot", "sequence", "shard", "offset", "n_tokens", "doc_ids", "ids_crc32", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_text": op1_template_text,
     "op2_bpe_automaton": op2_bpe_automaton,
     "op3_suffix_tree_dedup": op3_suffix_tree_dedup,
+    "op4_training_order": op4_training_order,
     "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
     "op6_media_columns": op6_media_columns,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
