@@ -10,7 +10,7 @@ Steps, all keyed by single documents or by table keys:
 1. ``sketches``: one pass over the texts. Equal sets are collapsed inside the task to their smallest id, then across tasks,
    so that copies, however many, enter the tables once.
 2. Tables: each task groups its own keys first and sends one row a key, so no key has more rows than there are tasks.
-   Members of a bucket are paired with hubs, a different one for each collection entry; nothing emits all pairs.
+   Members of a bucket are paired with its hub, chosen by one of a few orders; nothing emits all pairs.
 3. Candidates whose sizes allow the similarity are confirmed on their full sets. Components come from confirmed links.
 4. The rest, exactly: documents of buckets that still hold several components are compared by a prefix filter over their
    own shingles, rarest first, which finds every link that the hubs missed.
@@ -35,6 +35,8 @@ from .common import materialized, partitions, texts
 from .graph import components
 
 SIDE = 12
+#: Orders in which hubs are taken, by table.
+HUBS = 4
 HASHES = 4 * SIDE
 U64 = np.uint64
 _SEEDS = textkit.mix(np.arange(1, 2 * HASHES + 1, dtype=U64) * U64(0xD1342543DE82EF95))
@@ -152,7 +154,7 @@ def _own_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(at, 2048)
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = table_keys(_signatures(batch.column(1))).reshape(-1)
-            who, kind = np.repeat(np.arange(len(ids)), SIDE * SIDE), np.tile(np.repeat(np.arange(SIDE), SIDE), len(ids))
+            who, kind = np.repeat(np.arange(len(ids)), SIDE * SIDE), np.tile(np.repeat(np.arange(SIDE) % HUBS, SIDE), len(ids))
             order, hub = _stars(keys, ids[who], kind)
             a, b, k = who[order], who[hub], kind[order]
             lead = order == hub
