@@ -8,6 +8,7 @@ outside ASCII, next to which that doesn't hold, are one piece. The table of piec
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -17,6 +18,7 @@ U64 = np.uint64
 #: White space of Unicode beyond ASCII, in UTF-8.
 _OTHER_WHITE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 TABLE_PIECES = 1_000_000
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -77,8 +79,31 @@ class PieceTable:
         return self.flat[source], total[np.searchsorted(start, offs)]
 
 
+def _rank_encoder(path: str):
+    """An encoder of plain pieces by ``tiktoken``, if the vocabulary's ids are its merges' ranks; then both libraries give the same ids."""
+    import json
+
+    from .bpe_automaton import byte_characters
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    vocabulary = model["vocab"]
+    code = {c: b for b, c in enumerate(byte_characters())}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    if not plain or any(vocabulary.get(u + v) != 256 + k for k, (u, v) in enumerate(merges)) or len(vocabulary) != 256 + len(merges):
+        return None
+    import tiktoken
+
+    ranks = {bytes(code[c] for c in token): i for token, i in vocabulary.items()}
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+@lru_cache(maxsize=2)
 def tokenizer_table(path: str) -> PieceTable:
-    """Pieces are encoded by ``tokenizers`` as ``encode(text, add_special_tokens=False)`` does."""
+    """Pieces get the ids that ``tokenizers`` gives with ``encode(text, add_special_tokens=False)``. A worker keeps its table from task to task."""
+    import json
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,4 +112,14 @@ def tokenizer_table(path: str) -> PieceTable:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return PieceTable(lambda pieces: [e.ids for e in tokenizer.encode_batch(pieces, add_special_tokens=False)])
+    whole = lambda pieces: [e.ids for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    fast = _rank_encoder(path) if json.loads(tokenizer.to_str())["pre_tokenizer"] == _BYTE_LEVEL else None
+    if fast is None:
+        return PieceTable(whole)
+    with open(path, encoding="utf-8") as file:
+        added = [t["content"] for t in json.load(file)["added_tokens"]]
+
+    def encode(pieces: list[str]) -> list[list[int]]:
+        return [whole([p])[0] if any(t in p for t in added) else fast(p) for p in pieces]
+
+    return PieceTable(encode)
