@@ -18,6 +18,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -144,15 +145,20 @@ class WordEncoder:
         return " ".join([self.labels[i] for i in ids])
 
 
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 500_000
+
+
+@lru_cache(maxsize=2)
+def _kept(path: str) -> tuple[WordEncoder, dict[int, tuple[int, bytes, bytes]]]:
+    """The encoder, and its words so far, that a worker keeps from task to task."""
+    return WordEncoder(path), {}
 
 
 def coded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids (decimal, joined by one space) and of the text decoded from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
-        table: dict[int, tuple[int, bytes, bytes]] = {}
+        encoder, table = _kept(path)
         for rows, data, offs in textkit.blocks(batches):
             if len(table) > TABLE_WORDS:
                 table.clear()
