@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,5 +46,24 @@ def texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+#: Slots of the filter of ids, a bitmap of 512 KB at most.
+SLOTS = 1 << 22
+
+
+def in_slots(ids: DataFrame) -> Column:
+    """Whether doc_id's hash slot is one of those of ``ids``: a filter, exact in what it lets through only together with a join, that spares
+    most other texts a shuffle as long as ids are fewer than slots. At most SLOTS numbers come to the driver."""
+    held = np.zeros(SLOTS, bool)
+    held[ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    bits = ids.sparkSession.sparkContext.broadcast(np.packbits(held))
+
+    @F.pandas_udf("boolean")
+    def near(slot: pd.Series) -> pd.Series:
+        x = slot.to_numpy()
+        return pd.Series((bits.value[x >> 3] >> (7 - (x & 7))) & 1 > 0)
+
+    return near(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
