@@ -186,6 +186,9 @@ def contexts(docs: DataFrame, anchors: DataFrame, scheme: Scheme, bucket_of: Cal
         doc, lo, count, anchor, begin, data, token_start, token_end, hashes = held
         # Windows by document and place, so that of equal ones the first stays in front.
         inner = np.lexsort((lo, doc))
+        # Rows that repeat an id with its text have the same windows: they count once.
+        once = np.append(True, (doc[inner][1:] != doc[inner][:-1]) | (lo[inner][1:] != lo[inner][:-1])) if len(inner) else np.zeros(0, bool)
+        inner = inner[once]
         first_window = (np.cumsum(count) - count)[inner]
         doc, lo, count, anchor, begin = doc[inner], lo[inner], count[inner], anchor[inner], begin[inner]
         before = np.cumsum(count) - count

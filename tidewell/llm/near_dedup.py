@@ -11,7 +11,7 @@ Steps, all keyed by single documents or by table keys:
    so that copies, however many, enter the tables once.
 2. Tables: each task groups its own keys first and sends one row a key, so no key has more rows than there are tasks.
    Members of a bucket are paired with its hub, chosen by one of a few orders; nothing emits all pairs.
-3. Candidates whose sizes allow the similarity are confirmed on their full sets. Components come from confirmed links.
+3. Candidates are confirmed on their full sets. Components come from confirmed links.
 4. The rest, exactly: documents of buckets that still hold several components are compared by a prefix filter over their
    own shingles, rarest first, which finds every link that the hubs missed.
 
@@ -25,13 +25,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import materialized, partitions, texts
+from .common import in_slots, materialized, partitions, texts
 from .graph import components
 
 SIDE = 12
@@ -41,8 +40,6 @@ HASHES = 4 * SIDE
 U64 = np.uint64
 _SEEDS = textkit.mix(np.arange(1, 2 * HASHES + 1, dtype=U64) * U64(0xD1342543DE82EF95))
 _ADD, _TIMES = _SEEDS[:HASHES], _SEEDS[HASHES:] | U64(1)
-#: Equal minhashes of HASHES below which a pair can't plausibly have the similarity: 0.8 * 48 less 5.5 deviations.
-AGREEING = 23
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,41 +200,28 @@ def _pairs(a: np.ndarray, b: np.ndarray, kind: np.ndarray, wide: np.ndarray) ->
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a, b, kind, wide)], names=["a", "b", "kind", "wide"])
 
 
-def _plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow the similarity and whose minhashes don't rule it out."""
-    left = sketch.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-    right = sketch.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                equal = (_signatures(batch.column(2)) == _signatures(batch.column(3))).sum(1)
-                yield batch.select([0, 1]).filter(pa.array(equal >= AGREEING))
-
-    joined = pairs.join(left, "a").join(right, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
 def confirm(pairs: DataFrame, held: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough: 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            left, right = batch.column(2), batch.column(3)
-            for at in range(0, batch.num_rows, 256):
-                la, lo = textkit.text_bytes(left.slice(at, 256))
-                ra, ro = textkit.text_bytes(right.slice(at, 256))
-                (x, fx), (y, fy) = shingle_sets(la, lo, n), shingle_sets(ra, ro, n)
-                for k in range(len(lo) - 1):
-                    p, q = x[fx[k] : fx[k + 1]], y[fy[k] : fy[k + 1]]
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    good[at + k] = len(p) > 0 and 100 * both >= percent * (len(p) + len(q) - both)
-            yield batch.select([0, 1]).filter(pa.array(good))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                # A hub's rows stand together, so that its set is made once.
+                _, first, which = np.unique(batch.column(1).to_numpy(), return_index=True, return_inverse=True)
+                x, fx = shingle_sets(*textkit.text_bytes(batch.column(2)), n)
+                y, fy = shingle_sets(*textkit.text_bytes(batch.column(3).take(pa.array(first))), n)
+                good = np.zeros(batch.num_rows, bool)
+                for k, h in enumerate(which.tolist()):
+                    p, q = x[fx[k] : fx[k + 1]], y[fy[h] : fy[h + 1]]
+                    if len(p) and 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
+                        both = len(np.intersect1d(p, q, assume_unique=True))
+                        good[k] = 100 * both >= percent * (len(p) + len(q) - both)
+                yield batch.select([0, 1]).filter(pa.array(good))
 
     left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _prefix_rows(held: DataFrame, n: int) -> DataFrame:
@@ -284,24 +268,6 @@ def _missed(held: DataFrame, label: DataFrame, n: int, percent: int) -> DataFram
     return pairs.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
 
 
-#: Slots of the filter of ids, a bitmap of 512 KB at most.
-SLOTS = 1 << 22
-
-
-def _slots(ids: DataFrame) -> Column:
-    """Whether an id's hash slot is one of those of ``ids``: spares most other texts the shuffle, as long as ids are fewer than slots."""
-    held = np.zeros(SLOTS, bool)
-    held[ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy(int)] = True
-    bits = ids.sparkSession.sparkContext.broadcast(np.packbits(held))
-
-    @F.pandas_udf("boolean")
-    def near(slot: pd.Series) -> pd.Series:
-        x = slot.to_numpy()
-        return pd.Series((bits.value[x >> 3] >> (7 - (x & 7))) & 1 > 0)
-
-    return near(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int"))
-
-
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row a row of ``docs``. component_id is the smallest id that links reach."""
     spark = docs.sparkSession
@@ -316,12 +282,9 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     stars = keyed.mapInArrow(_all_buckets, _PAIR).groupBy("a", "b").agg(F.max("wide").alias("wide"))
     stars = materialized(stars, "near-stars")
     ids = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    near = _slots(ids)
-    held = materialized(texts(docs).filter(near).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
-    sketch_held = reps.join(ids, "doc_id", "left_semi")
+    held = materialized(texts(docs).filter(in_slots(ids)).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
 
-    likely = materialized(_plausible(stars, sketch_held, percent), "near-likely")
-    links = materialized(confirm(likely, held, n, percent), "near-links")
+    links = materialized(confirm(stars, held, n, percent), "near-links")
     label = materialized(components(links), "near-labels")
 
     # The rest: all members of buckets of three or more of which some are in another component than their hub.
@@ -330,8 +293,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     hubs = wide.filter("coalesce(ca, a) <> coalesce(cb, b)").select("b").distinct()
     open_ids = wide.join(hubs, "b", "left_semi").select(F.col("a").alias("doc_id")).unionByName(hubs.select(F.col("b").alias("doc_id"))).distinct()
     rest = materialized(held.join(open_ids, "doc_id", "left_semi"), "near-rest")
-    missed = _plausible(_missed(rest, label, n, percent), sketch_held, percent)
-    more = materialized(confirm(missed, rest, n, percent), "near-links")
+    more = materialized(confirm(_missed(rest, label, n, percent), rest, n, percent), "near-links")
 
     final = components(links.unionByName(more).unionByName(same))
     out = sketch.join(final.withColumnRenamed("node", "rep"), "rep", "left")
