@@ -160,3 +160,36 @@ def summarize_segments(df: DataFrame) -> DataFrame:
     return df.filter("ret IS NOT NULL").cube("side", "market", "year").agg(F.count("*").alias("n"), F.avg("ret").alias("mean")).filter(
         (F.col("side").isNotNull().cast("int") + F.col("market").isNotNull().cast("int") + F.col("year").isNotNull().cast("int")) != 2
     )
+
+
+def effective_period(df: DataFrame, start: str, end: str, slack: int = 10) -> DataFrame:
+    """By key: the window that its rows cover: full when it starts within some days of the window, else whole months."""
+    rows = df.filter(F.col("t").between(start, end) & F.col("v").isNotNull()).groupBy("k").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    full = F.datediff("a", F.lit(start).cast("date")) <= slack
+    return rows.select("k", full.alias("full"), F.when(~full, F.floor(F.datediff("b", "a") / 30.4375)).cast("long").alias("months"))
+
+
+def stability(df: DataFrame, cohort: str, least: int) -> DataFrame:
+    """By side: cohorts with enough outcomes, how many have a positive mean, their mean and worst."""
+    each = df.filter("ret IS NOT NULL").groupBy("side", cohort).agg(F.count("*").alias("n"), F.avg("ret").alias("mean")).filter(F.col("n") >= least)
+    return each.groupBy("side").agg(F.count("*").alias("cohorts"), F.sum((F.col("mean") > 0).cast("int")).alias("positive"), F.avg("mean").alias("mean"), F.min("mean").alias("worst"))
+
+
+def evaluate_events(events: DataFrame, prices: DataFrame, horizon: int, least: float = 0.05) -> DataFrame:
+    """By group: how often a signal of some strength had the direction of the return from the first row on or after it. events: k, t, grp, signal."""
+    from . import asof, indicators
+
+    ahead = prices.select("k", "t", (F.lead("v", horizon).over(indicators.by_time()) / F.col("v") - 1).alias("v"))
+    rows = asof.asof_forward(events.filter(F.abs("signal") >= least), ahead, 14).filter("v_right IS NOT NULL")
+    return rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg((F.signum("signal") == F.signum("v_right")).cast("double")).alias("accuracy"))
+
+
+def tail_failures(df: DataFrame, n: int) -> DataFrame:
+    """The worst outcomes of each side, ranked."""
+    worst = F.when(F.col("side") == "buy", F.col("ret")).otherwise(-F.col("ret"))
+    rows = df.filter("ret IS NOT NULL").withColumn("worst", worst)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("side").orderBy("worst", "k", "t"))).filter(F.col("rank") <= n).select("side", "rank", "k", "t", "ret")
+
+
+def envelope(df: DataFrame) -> DataFrame:
+    return df.groupBy("t").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n"))

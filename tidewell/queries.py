@@ -1025,3 +1025,135 @@ def _(s, d):
 @query("st8_deduplicated", "SELECT COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS ids FROM events")
 def _(s, d):
     return ST.drained(ST.deduplicated(ST.source(s, d))).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+# ---- landed sources, models and further aggregations
+
+from .operators import models as MO  # noqa: E402
+from .sources import landed as S  # noqa: E402
+
+
+@query("s1_columnar_round_trip", f"SELECT CAST(k AS VARCHAR) AS k, t, {r6('v')} FROM price", ("price",))
+def _(s, d):
+    return S.columnar_rows(S.to_columnar(P.price(s, d))).select("k", "t", "v")
+
+
+@query(
+    "s9_extract_envelope",
+    "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS item, FALSE AS failed FROM events",
+)
+def _(s, d):
+    rows = P.table(s, d, "events").select("event_id", F.concat(F.lit('{"list": {"item": '), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), F.col("props"), F.lit("]"))).otherwise(F.col("props")), F.lit("}}")).alias("body"))
+    out = S.extract_envelope(rows, "list.item", "struct<k: bigint>")
+    return out.select("event_id", F.col("item.k").alias("item"), "failed")
+
+
+@query(
+    "s10_decode_observations",
+    f"""SELECT o_custkey % 50 AS k, CAST(o_orderdate AS DATE) AS t, {r6('ROUND(o_totalprice / 1000 + 1e-9, 4) AS v')} FROM orders WHERE o_orderkey % 17 <> 0""",
+)
+def _(s, d):
+    o = P.table(s, d, "orders")
+    text = F.format_number("o_totalprice", 2)
+    raw = o.select((F.col("o_custkey") % 50).alias("k"), F.date_format("o_orderdate", "yyyyMMdd").alias("d"), F.when(F.col("o_orderkey") % 17 == 0, "n/a").otherwise(text).alias("x"))
+    return S.decode_observations(raw, "yyyyMMdd", 1000.0)
+
+
+@query("s12_decode_scores", f"SELECT user_id AS k, CAST(ts AS DATE) AS t, {r6('arg_max(value, event_id) AS v')} FROM events WHERE value BETWEEN 0 AND 100 GROUP BY 1, 2")
+def _(s, d):
+    return S.decode_scores(P.table(s, d, "events").select(F.col("user_id").alias("k"), F.to_date("ts").alias("t"), F.col("value").alias("v"), F.col("event_id").alias("seq")))
+
+
+@query("s25_check_segments", "SELECT 'missing' AS problem, COUNT(*) AS n FROM price WHERE k = 3 AND t < DATE '2000-01-01' HAVING COUNT(*) > 0", ("price",))
+def _(s, d):
+    p = KT(P.price(s, d))
+    return S.check_segments(p, p.filter("t >= DATE '2000-01-01'"), p.filter("t < DATE '2000-01-01' AND k <> 3")).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+FEATURE_SQL = f"""f AS (SELECT k, t, v, row_number() OVER w - 1 AS i, ln(v / lag(v, 5) OVER w) AS r5, ln(v / lag(v, 20) OVER w) AS r20, ln(v / lag(v, 60) OVER w) AS r60, ln(v / lag(v) OVER w) AS r1, ln(lead(v, 20) OVER w / v) AS y, lead(t, 20) OVER w AS target_t FROM price {BY}),
+    g AS (SELECT k, t, i, y, target_t, r5, r20, r60, stddev_samp(r1) OVER a AS vol20, stddev_samp(r1) OVER b AS vol60, v / MAX(v) OVER b - 1 AS draw60, CASE WHEN MAX(v) OVER b > MIN(v) OVER b THEN (v - MIN(v) OVER b) / (MAX(v) OVER b - MIN(v) OVER b) END AS pos60, ln(v / AVG(v) OVER a) AS mean20
+    FROM f WINDOW a AS (PARTITION BY k ORDER BY t ROWS 19 PRECEDING), b AS (PARTITION BY k ORDER BY t ROWS 59 PRECEDING))"""
+
+
+@query("m11_forecast_features", f"WITH {FEATURE_SQL} SELECT k, t, {r6(*MO.FEATURES)} FROM g", ("price",))
+def _(s, d):
+    return MO.forecast_features(P.price(s, d)).drop("v")
+
+
+@query("m12_build_samples", f"WITH {FEATURE_SQL} SELECT k, t, target_t, {r6('y', *MO.FEATURES)} FROM g WHERE i >= 60 AND i % 21 = 0 AND y IS NOT NULL AND r60 IS NOT NULL AND vol60 IS NOT NULL AND pos60 IS NOT NULL", ("price",))
+def _(s, d):
+    return MO.build_samples(P.price(s, d)).select("k", "t", "target_t", "y", *MO.FEATURES)
+
+
+@query("m13_fit_ridge")
+def _(s, d):
+    return MO.fit_ridge(MO.build_samples(P.price(s, d)), "k")
+
+
+@query(
+    "m27_score_journal",
+    f"""WITH j AS (SELECT k, t AS as_of, v AS base, v * (1 + v / lag(v, 20) OVER w - 1) AS predicted, CAST(t + INTERVAL 28 DAY AS DATE) AS target_t, row_number() OVER w - 1 AS i, lag(v, 20) OVER w AS b FROM price {BY}),
+    x AS (SELECT j.*, p.t AS pt, p.v AS pv FROM (SELECT * FROM j WHERE i % 21 = 0 AND b IS NOT NULL) j ASOF LEFT JOIN price p ON p.k = j.k AND p.t >= j.target_t)
+    SELECT k, as_of, target_t, CASE WHEN datediff('day', target_t, pt) <= 14 THEN pt END AS actual_t, {r6("CASE WHEN datediff('day', target_t, pt) <= 14 THEN pv END AS actual", "CASE WHEN datediff('day', target_t, pt) <= 14 THEN ln(pv / predicted) END AS log_error")}, CASE WHEN datediff('day', target_t, pt) <= 14 THEN sign(pv - base) = sign(predicted - base) END AS direction_right FROM x""",
+    ("price",),
+)
+def _(s, d):
+    before = F.lag("v", 20).over(W.by_time())
+    rows = P.price(s, d).withColumn("b", before).withColumn("i", F.row_number().over(W.by_time()) - 1).filter("i % 21 = 0 AND b IS NOT NULL")
+    journal = rows.select("k", F.col("t").alias("as_of"), F.date_add("t", 28).alias("target_t"), F.col("v").alias("base"), (F.col("v") * (1 + F.col("v") / F.col("b") - 1)).alias("predicted"))
+    return MO.score_journal(journal, P.price(s, d))
+
+
+@query(
+    "m33_financial_snapshots",
+    f"""WITH {FIN}, d AS (SELECT DISTINCT k, report_date AS as_of FROM versions), l AS (SELECT d.k, d.as_of, v.period, arg_max(v.v, v.report_date) AS v FROM d JOIN versions v ON v.k = d.k AND v.report_date <= d.as_of GROUP BY 1, 2, 3)
+    SELECT k, as_of, COUNT(*) AS periods, {r6('SUM(v) AS total')}, MAX(period) AS latest_period FROM l GROUP BY 1, 2""",
+)
+def _(s, d):
+    rows = P.table(s, d, "orders").join(P.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    fin = rows.groupBy(F.col("c_nationkey").alias("k"), F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("period")).agg((F.sum("o_totalprice") / 1e6).alias("v"))
+    report = lambda days, by: fin.select("k", "period", F.date_add(F.add_months("period", 3), days).alias("report_date"), (F.col("v") * by).alias("v"))
+    return MO.financial_snapshots(report(44, 1.0).unionByName(report(134, 1.01)))
+
+
+@query(
+    "a36_candidate_profile",
+    f"""WITH r AS (SELECT k, ln(v / lag(v) OVER w) AS r, datediff('day', DATE '1995-01-01', t) / 365.25 AS x, v / MAX(v) OVER (PARTITION BY k ORDER BY t ROWS UNBOUNDED PRECEDING) - 1 AS dd, ln(v) AS l FROM price {BY})
+    SELECT k, {r6('stddev_samp(r) AS vol', 'regr_slope(l, x) AS trend', 'regr_r2(l, x) AS fit', 'MIN(dd) AS max_drawdown')} FROM r GROUP BY 1""",
+    ("price",),
+)
+def _(s, d):
+    return MO.candidate_profile(P.price(s, d))
+
+
+@query(
+    "a15_effective_period",
+    """WITH a AS (SELECT k, MIN(t) AS a, MAX(t) AS b FROM price WHERE t BETWEEN DATE '1995-01-01' AND DATE '2000-01-01' GROUP BY 1)
+    SELECT k, datediff('day', DATE '1995-01-01', a) <= 10 AS "full", CASE WHEN datediff('day', DATE '1995-01-01', a) > 10 THEN CAST(floor(datediff('day', a, b) / 30.4375) AS BIGINT) END AS months FROM a""",
+    ("price",),
+)
+def _(s, d):
+    return A.effective_period(P.price(s, d), "1995-01-01", "2000-01-01")
+
+
+@query(
+    "a20_stability",
+    f"WITH {RETURNS}, e AS (SELECT side, year, COUNT(*) AS n, AVG(ret) AS mean FROM returns WHERE side IS NOT NULL AND ret IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 30) SELECT side, COUNT(*) AS cohorts, CAST(SUM(CASE WHEN mean > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive, {r6('AVG(mean) AS mean', 'MIN(mean) AS worst')} FROM e GROUP BY 1",
+    ("price",),
+)
+def _(s, d):
+    return A.stability(returns(s, d).filter("side IS NOT NULL"), "year", 30)
+
+
+@query(
+    "k3_tail_failures",
+    f"WITH {RETURNS}, w AS (SELECT side, k, t, ret, row_number() OVER (PARTITION BY side ORDER BY CASE WHEN side = 'buy' THEN ret ELSE -ret END, k, t) AS rank FROM returns WHERE side IS NOT NULL AND ret IS NOT NULL) SELECT side, rank, k, t, {r6('ret')} FROM w WHERE rank <= 20",
+    ("price",),
+)
+def _(s, d):
+    return A.tail_failures(returns(s, d).filter("side IS NOT NULL"), 20)
+
+
+@query("w33_envelope", f"SELECT t, {r6('MIN(v) AS low', 'MAX(v) AS high')}, COUNT(v) AS n FROM dirty GROUP BY 1", ("dirty",))
+def _(s, d):
+    return A.envelope(U_dirty(s, d))
