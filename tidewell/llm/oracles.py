@@ -1,3 +1,44 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express on whole tables."""
 
-ORACLES: dict[str, str] = {}
+from .quality_rules import BASE, BITS, CURRENT, RULES, mask
+
+_WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+
+def _runs(n: int) -> str:
+    """Runs of n words: (doc_id, p, g), c words each."""
+    over = f"OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+    return f"words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d), runs AS (SELECT doc_id, p, string_agg(x, ' ') {over} AS g, COUNT(*) {over} AS c FROM words)"
+
+
+_OP3 = f"""WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+{_runs(20)},
+win AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS rn FROM runs WHERE c = 20),
+gone AS (SELECT DISTINCT doc_id, p + j AS p FROM win, range(20) r(j) WHERE rn > 1),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, COUNT(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+_OP9 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
+{_runs(4)},
+s AS (SELECT DISTINCT doc_id, g FROM runs WHERE c = 4 UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.c)
+SELECT r.doc_id, coalesce(MAX(n.n), 0) AS n_shingles, MIN(c) AS component_id, r.doc_id = MIN(c) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id"""
+
+_FAILED = " + ".join(f"CASE WHEN {rule} THEN {BITS[name]} ELSE 0 END" for name, rule in RULES.items())
+_BASE = sum(BITS[name] for name in BASE)
+_OP10 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+lines AS (SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) - COUNT(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
+{_runs(8)},
+win AS (SELECT doc_id, p, COUNT(*) OVER (PARTITION BY doc_id, g) AS again FROM runs WHERE c = 8),
+again AS (SELECT doc_id, COUNT(DISTINCT p + j) AS n_repeat_words FROM win, range(8) r(j) WHERE again > 1 GROUP BY 1),
+m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)),
+f AS (SELECT *, {_FAILED} AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {_BASE}) <> 0 AS base_failed, (failed & {mask(CURRENT) | _BASE}) = 0 AS kept, n_lines, failed FROM f"""
+
+ORACLES: dict[str, str] = {"op3_suffix_tree_dedup": _OP3, "op9_minhash_near_dedup": _OP9, "op10_quality_rules": _OP10}
