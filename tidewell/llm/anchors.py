@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkit
 from .common import partitions
@@ -66,10 +67,12 @@ class Scheme:
     tokens: Callable[[np.ndarray, np.ndarray], Tokens]
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) dealt by id; never null ids, so that no filter differs between uses and Spark reuses the shuffle."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.repartition(partitions(docs.sparkSession), "doc_id")
+def identified(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
+    """(doc_id, text), with a struct of further columns if asked, dealt by id; never null ids, so that no filter differs between uses and Spark reuses the shuffle."""
+    columns = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if rest is not None:
+        columns.append(F.struct(*rest).alias("rest"))
+    return docs.select(*columns).repartition(partitions(docs.sparkSession), "doc_id")
 
 
 def _block_anchors(tokens: Tokens, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -278,7 +281,7 @@ def contexts(docs: DataFrame, anchors: DataFrame, scheme: Scheme, bucket_of: Cal
                 total = tokens_held = bytes_held = 0
         yield from flush()
 
-    joined = docs.join(anchors.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "places")
+    joined = docs.join(anchors.hint("shuffle_hash"), "doc_id").select(*docs.columns, "places")
     return joined.mapInArrow(run, CONTEXT)
 
 
@@ -374,7 +377,7 @@ def grouped(scheme: Scheme, key_at: Callable[[np.ndarray, np.ndarray], Iterator[
     return run
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, finish: Callable, schema: str) -> DataFrame:
+def with_spans(docs: DataFrame, spans: DataFrame, finish: Callable, schema: str | StructType) -> DataFrame:
     """``finish(rows, data, offs, spans by row)`` over all texts with the spans that were found in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +386,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, finish: Callable, schema: str)
             yield finish(rows, data, offs, np.repeat(np.arange(rows.num_rows), np.diff(at)), values >> 32, values & 0xFFFFFFFF)
 
     gathered = spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    return docs.join(gathered.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return docs.join(gathered.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "spans").mapInArrow(run, schema)
 
 
 def marked(length: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import anchors
 from .common import partitions
@@ -91,17 +92,18 @@ def _texts(rows, data, offs, row, begin, end) -> pa.RecordBatch:
     total = np.append(0, np.cumsum(gone))
     kept = data[~gone].tobytes()
     left = offs - total[offs]
-    texts = [kept[a:b].decode() for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
-    lost = np.diff(total[offs])
-    return pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string()), pa.array(lost)], names=["doc_id", "text", "n_removed"])
+    known = rows.column(1).is_valid().to_pylist()
+    texts = [kept[a:b].decode() if k else None for a, b, k in zip(left[:-1].tolist(), left[1:].tolist(), known, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(np.diff(total[offs])), rows.column(2)], names=["text", "n_removed", "rest"])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of the text; all columns stay, ``n_chars`` (if there) follows the text."""
     columns = docs.columns
-    ids = anchors.identified(docs)
-    cut = anchors.with_spans(ids, repeated_spans(ids), _texts, "doc_id long, text string, n_removed long").filter("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).dropDuplicates(["__id"])
-    out = docs.join(cut, F.coalesce(docs["doc_id"].cast("long"), F.lit(anchors.NO_ID)) == cut["__id"], "left")
-    changed = {"text": F.coalesce("__text", "text")} | ({"n_chars": F.when(F.col("__id").isNull(), F.col("n_chars")).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
-    return out.withColumns(changed).select(*columns)
+    ids = anchors.identified(docs, [c for c in columns if c != "text"])
+    schema = StructType([StructField("text", StringType()), StructField("n_removed", LongType()), StructField("rest", ids.schema["rest"].dataType)])
+    cut = anchors.with_spans(ids, repeated_spans(ids), _texts, schema)
+    changed = {"text": F.col("text")}
+    if "n_chars" in columns:
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("rest.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return cut.select(*[changed.get(c, F.col("rest")[c].alias(c)) for c in columns])
