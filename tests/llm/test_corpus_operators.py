@@ -139,6 +139,38 @@ def test_near_copies_without_a_central_text(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(df, 4, 80).collect()} == components_of(4, 80, texts)
 
 
+@pytest.mark.parametrize("stray", ["m1", "m2"])
+def test_a_mixed_bucket_opens_all_its_slices(spark, stray):
+    import pyarrow as pa
+
+    # Slices H; T2, m2; m1. H comes first in every order of hubs, and T2 before m2.
+    kinds = np.arange(near_dedup.HUBS)
+    rank = lambda i: near_dedup._hub_rank(np.full(len(kinds), i), kinds)
+    h = next(i for i in range(1, 10**6) if (rank(i) < 1 << 60).all())
+    after = [i for i in range(h + 1, h + 2000) if (rank(i) > rank(h)).all()]
+    t2, m2 = next((x, y) for x in after for y in after if (rank(x) < rank(y)).all())
+    m1 = next(i for i in after if i not in (t2, m2))
+    sig = np.arange(near_dedup.HASHES, dtype=np.uint32).tobytes()
+    slices = [pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([sig] * len(ids), pa.binary())], names=["doc_id", "sig"]) for ids in ([h], [t2, m2], [m1])]
+    rows = pa.Table.from_batches(near_dedup._all_buckets(near_dedup._own_buckets(iter(slices)))).to_pylist()
+    assert {(r["a"], r["b"]) for r in rows} == {(m2, t2), (t2, h), (m1, h)}
+    stars = spark.createDataFrame([(r["a"], r["b"], r["wide"]) for r in rows], "a long, b long, wide int")
+    label = spark.createDataFrame([(i, h) for i in (h, t2, m1, m2) if i != {"m1": m1, "m2": m2}[stray]], "node long, component long")
+    assert {r.doc_id for r in near_dedup.opened(stars, label).collect()} == {h, t2, m1, m2}
+
+
+def test_near_dedup_over_many_slices(spark):
+    texts = {i: edited(BASE, 25 + i % 60, i) for i in range(120)} | {1000 + i: edited(edited(BASE, 25, i), 9 + i % 9, 500 + i) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = near_dedup.near_groups(df, 4, 80).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == components_of(4, 80, texts)
+
+
 def test_quality_rules(docs, empty):
     ledger = quality_rules.ledger(docs).cache()
     for r in ledger.collect():

@@ -165,18 +165,20 @@ def _rows(key: np.ndarray, ids: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(mark)], names=["key", "id", "mark"])
 
 
-_PAIR = "a long, b long, kind long, wide boolean"
+#: Of a pair (a, b) with b a hub: ALONE if the bucket has no further members, OWN if b is the hub of a slice, TOP if it is the whole bucket's and a a slice's hub.
+_PAIR = "a long, b long, kind long, wide int"
+ALONE, OWN, TOP = 0, 1, 2
 
 
 def _all_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows of whole keys: pairs (a, b) with the buckets' hubs, and the pairs that tasks found before. wide: the bucket may have further members."""
+    """Of the rows of whole keys: pairs (a, b) with the buckets' hubs, and the pairs that tasks found before."""
     held = []
     for batch in batches:
         mark = batch.column(2).to_numpy(zero_copy_only=False)
         found = mark >= PAIR
         if found.any():
             done = batch.filter(pa.array(found))
-            yield _pairs(done.column(1).to_numpy(), done.column(0).to_numpy(), mark[found] - PAIR, np.ones(int(found.sum()), bool))
+            yield _pairs(done.column(1).to_numpy(), done.column(0).to_numpy(), mark[found] - PAIR, np.full(int(found.sum()), OWN))
         if not found.all():
             held.append(batch.filter(pa.array(~found)))
     if not held:
@@ -188,16 +190,16 @@ def _all_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new = order == hub
     start = np.flatnonzero(new)
     members = np.add.reduceat(1 + (mark[order] >= SEVERAL), start)
-    wide = np.repeat(members > 2, np.diff(np.append(start, len(order))))
-    rows = np.stack([ids[order], ids[hub], kind[order], wide.astype(np.int64)], 1)[~new]
+    wide = np.repeat(np.where(members > 2, TOP, ALONE), np.diff(np.append(start, len(order))))
+    rows = np.stack([ids[order], ids[hub], kind[order], wide], 1)[~new]
     once = np.unique(rows, axis=0)
     for at in range(0, len(once), 1 << 16):
         part = once[at : at + (1 << 16)]
-        yield _pairs(part[:, 0], part[:, 1], part[:, 2], part[:, 3] > 0)
+        yield _pairs(part[:, 0], part[:, 1], part[:, 2], part[:, 3])
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, kind: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a, b, kind, wide)], names=["a", "b", "kind", "wide"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a, b, kind, wide.astype(np.int32))], names=["a", "b", "kind", "wide"])
 
 
 def confirm(pairs: DataFrame, held: DataFrame, n: int, percent: int) -> DataFrame:
@@ -268,6 +270,23 @@ def _missed(held: DataFrame, label: DataFrame, n: int, percent: int) -> DataFram
     return pairs.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
 
 
+def opened(stars: DataFrame, label: DataFrame) -> DataFrame:
+    """doc_id of all members of buckets of three or more of which some are in another component than their hub.
+
+    Buckets are stars of stars: members under the hub of their slice, these hubs under the bucket's. One stray at either
+    level opens the bucket, with the members of all its slices: first up from its star to the buckets' hubs, then down.
+    """
+    name = lambda c, x: label.select(F.col("node").alias(c), F.col("component").alias(x))
+    wide = stars.filter(F.col("wide") > ALONE).select("a", "b", "wide")
+    named = wide.join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left")
+    mixed = materialized(named.filter("coalesce(ca, a) <> coalesce(cb, b)").select("b").distinct(), "near-mixed")
+    top = wide.filter(F.col("wide") == TOP).select("a", "b")
+    roots = materialized(mixed.unionByName(top.join(mixed.withColumnRenamed("b", "a"), "a", "left_semi").select("b")).distinct(), "near-mixed")
+    hubs = materialized(roots.unionByName(top.join(roots, "b", "left_semi").select(F.col("a").alias("b"))).distinct(), "near-mixed")
+    members = wide.join(hubs, "b", "left_semi").select(F.col("a").alias("doc_id"))
+    return members.unionByName(hubs.select(F.col("b").alias("doc_id"))).distinct()
+
+
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row a row of ``docs``. component_id is the smallest id that links reach."""
     spark = docs.sparkSession
@@ -287,11 +306,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     links = materialized(confirm(stars, held, n, percent), "near-links")
     label = materialized(components(links), "near-labels")
 
-    # The rest: all members of buckets of three or more of which some are in another component than their hub.
-    name = lambda c, x: label.select(F.col("node").alias(c), F.col("component").alias(x))
-    wide = stars.filter("wide").join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left")
-    hubs = wide.filter("coalesce(ca, a) <> coalesce(cb, b)").select("b").distinct()
-    open_ids = wide.join(hubs, "b", "left_semi").select(F.col("a").alias("doc_id")).unionByName(hubs.select(F.col("b").alias("doc_id"))).distinct()
+    open_ids = opened(stars, label)
     rest = materialized(held.join(open_ids, "doc_id", "left_semi"), "near-rest")
     more = materialized(confirm(_missed(rest, label, n, percent), rest, n, percent), "near-links")
 
