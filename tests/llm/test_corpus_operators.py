@@ -312,6 +312,38 @@ def test_toxicity(spark):
     assert all(r.score < 0.3 for r in toxicity.scored(docs, marks.limit(0)).collect())
 
 
+def test_toxicity_model_is_whole(spark):
+    import pyarrow as pa
+
+    # More entries than 2 ** 20: words of their own 6-grams, each seen once.
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[i // 26**k % 26] for k in range(5))
+    rows = [(d, " ".join(word(d * 4000 + i) for i in range(4000)), int(d % 2)) for d in range(120)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.fit_model(labelled)
+    scorer = toxicity.written(model)
+    entries = spark.read.parquet(scorer.folder)
+    held = entries.count()
+    assert held > 1 << 20 and model.count() == held
+    few = toxicity.Scorer(scorer.folder, scorer.files, kept=1000)
+    data, offs = textkit.text_bytes(pa.array([t for _, t, _ in rows[:6]]))
+    a, b = scorer.evidence(data, offs), few.evidence(data, offs)
+    assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+    assert all((a[0][d] > 0) == (d % 2 == 1) for d in range(6))
+
+
+def test_toxicity_counts_all_but_the_calibration_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 10)
+    seen = []
+    fit = toxicity.fit_model
+    monkeypatch.setattr(toxicity, "fit_model", lambda rows: seen.append({r.doc_id for r in rows.select("doc_id").collect()}) or fit(rows))
+    docs = spark.createDataFrame([(i, prose(20, i)) for i in range(400)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 3 == 0) for i in range(400)], "doc_id long, toxic boolean")
+    toxicity.scored(docs, marks)
+    of_fold = {i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 3}
+    assert 0 < len(of_fold - seen[0]) <= 30 and not any(zlib.crc32(str(i).encode()) % 4 == 2 for i in seen[0])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T {i}</title><style>p{{}}</style><script>var a = "</p>";</script></head><body class="home"><header><h2>Site</h2></header>
 <nav><ul><li><a href="/a">A{i}</a><li><a href="/b">B</a></ul></nav><div class="ad">Buy {i}</div><article><h1>Head &amp; {i}</h1><p>First  {i}<br>line<p><b>Sec&eacute;nd</b> &#65;</p>
 <div class="comments"><p>no {i}</p></div><form>x</form><aside>side</aside></article><div class="comments"><p>reader {i}</p></div><footer>&copy; f</footer>"""

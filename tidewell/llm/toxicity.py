@@ -8,8 +8,8 @@ logistic curve, fitted to labelled rows that were not counted, turns it into a p
 
 Word counts are gathered from all labelled rows that may be learned from, whole texts, on Spark; n-grams come from the
 counted words. Where neither class has seen an n-gram, the classes' difference depends on its context alone, so the model
-holds seen n-grams and contexts only. It is broadcast, and bounded by ``MODEL_ENTRIES`` (those with the largest absolute
-difference times count are held).
+holds seen n-grams and contexts only, all of them: it is a table in the shared folder that tasks read in sorted chunks, so
+its size bounds no result and no memory.
 
 Defined results: null and empty texts have score 0. Texts are scored one by one, whole, equal or not. Labels that are null
 are ignored; of several labels for one id the largest holds. Without any labels of both classes every score is 0. An empty
@@ -22,17 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import in_slots, materialized, texts
+from .common import in_slots, materialized, new_folder, partitions, texts
 
 ORDER = 6
 DISCOUNT = 0.75
 #: Observations that the shared model counts for in every context of a class.
 SHARED_MASS = 8.0
-MODEL_ENTRIES = 1 << 20
+#: Entries of a model that a worker keeps from block to block; larger ones are read anew for each block, with the same results.
+KEPT_ENTRIES = 1 << 21
 #: Labelled rows, about, to which the curve is fitted; under twice as many.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
@@ -124,10 +127,9 @@ def fit_model(labelled: DataFrame) -> DataFrame:
     # The highest order of both classes together, over the shared lower orders; each class backs off to it.
     shared = (F.greatest(F.col("n0") + F.col("n1") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("k2") * F.coalesce("p", F.lit(1 / 256))) / F.col("t2")
     p = [F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)) / (F.col(f"t{k}") + SHARED_MASS) + F.col(f"l{k}") * shared for k in (0, 1)]
-    entries = seen.select(F.col("gram").alias("entry"), F.log(p[1] / p[0]).alias("value"), (F.col("n0") + F.col("n1")).alias("n"))
-    contexts = context.select(F.concat("h", F.lit(b"\0")).alias("entry"), F.log(F.col("l1") / F.col("l0")).alias("value"), F.col("t2").alias("n"))
-    every = entries.unionByName(contexts)
-    return every.orderBy(F.desc(F.abs("value") * F.col("n")), "entry").limit(MODEL_ENTRIES).select("entry", "value")
+    entries = seen.select(F.col("gram").alias("entry"), F.log(p[1] / p[0]).alias("value"))
+    contexts = context.select(F.concat("h", F.lit(b"\0")).alias("entry"), F.log(F.col("l1") / F.col("l0")).alias("value"))
+    return entries.unionByName(contexts)
 
 
 def entry_keys(entries: pa.Array) -> np.ndarray:
@@ -145,18 +147,56 @@ def _hashed(model: DataFrame) -> DataFrame:
     return model.mapInArrow(run, "key long, value double")
 
 
-class Scorer:
-    """Sums of log-ratios of rows' words, by a table of hashed entries."""
+def written(model: DataFrame) -> Scorer:
+    """A scorer of the whole model, which is written to the shared folder, by hashed key."""
+    spark = model.sparkSession
+    folder = new_folder(spark, "toxicity-model")
+    _hashed(model).repartition(partitions(spark), "key").sortWithinPartitions("key").write.parquet(folder)
+    store, path = fs.FileSystem.from_uri(folder)
+    files = sorted(x.path for x in store.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet"))
+    return Scorer(folder, files)
+
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.asarray(values, np.float64)[order]
+#: The chunks of the model that a worker keeps, by folder.
+_KEPT: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+
+class Scorer:
+    """Sums of log-ratios of rows' words, by a table of hashed entries in files sorted by key."""
+
+    def __init__(self, folder: str, files: list[str], kept: int = KEPT_ENTRIES):
+        self.folder, self.files, self.kept = folder, files, kept
+
+    def _chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.folder in _KEPT:
+            yield from _KEPT[self.folder]
+            return
+        store, _ = fs.FileSystem.from_uri(self.folder)
+        held, n = [], 0
+        for path in self.files:
+            with store.open_input_file(path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(1 << 17, columns=["key", "value"]):
+                    chunk = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
+                    # Files are sorted as signed numbers; from here on as unsigned ones.
+                    order = np.argsort(chunk[0], kind="stable")
+                    chunk = chunk[0][order], chunk[1][order]
+                    n += len(chunk[0])
+                    held = [*held, chunk] if n <= self.kept else []
+                    yield chunk
+        if n <= self.kept:
+            _KEPT.clear()
+            _KEPT[self.folder] = held
+
+    def _values(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of keys, 0 for unknown ones, and which are known."""
+        wanted, which = np.unique(keys, return_inverse=True)
+        value, known = np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+        for held, values in self._chunks():
+            if len(held) and len(wanted):
+                at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+                hit = held[at] == wanted
+                value[hit], known = values[at[hit]], known | hit
+        return value[which], known[which]
 
     def evidence(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each row's words: the mean log-ratio, and the mean of what single words have beyond STRONG; 0 without words."""
@@ -175,15 +215,14 @@ class Scorer:
         first = np.maximum(begin[:-1][number], end - ORDER)
         codes = textkit.byte_codes(text)
         sums = textkit.prefix_sums(codes)
-        found_at, found = self._find(textkit.spans_hash(sums, first, end))
-        value = np.where(found, self.values[found_at] if len(self.values) else 0.0, 0.0)
-        rest = np.flatnonzero(~found)
+        grams = textkit.spans_hash(sums, first, end)
         zero = textkit.byte_codes(np.zeros(1, np.uint8))[0]
-        raw = (sums[end[rest] - 1] - sums[first[rest]]) * textkit.powers(len(sums))[1][first[rest]]
-        length = (end[rest] - 1 - first[rest]).astype(np.int64)
-        keys = textkit.mix(raw + zero * textkit.powers(len(sums))[0][length] + (length + 1).astype(U64) * U64(0x8EBC6AF09C88C6E3))
-        context_at, known = self._find(keys)
-        value[rest] = np.where(known, self.values[context_at] if len(self.values) else 0.0, 0.0)
+        raw = (sums[end - 1] - sums[first]) * textkit.powers(len(sums))[1][first]
+        length = (end - 1 - first).astype(np.int64)
+        contexts = textkit.mix(raw + zero * textkit.powers(len(sums))[0][length] + (length + 1).astype(U64) * U64(0x8EBC6AF09C88C6E3))
+        # Unseen n-grams have their context's value.
+        value, known = self._values(np.concatenate([grams, contexts]))
+        value = np.where(known[: len(grams)], value[: len(grams)], value[len(grams) :])
         by_word = np.bincount(number, weights=value, minlength=len(size))
         n = np.diff(words.first)
         by_row = lambda x: np.bincount(words.row, weights=x[which], minlength=len(n)) / np.maximum(n, 1)
@@ -211,7 +250,7 @@ def _evidence(rows: DataFrame, scorer, more: str = "") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in textkit.blocks(batches):
             n = np.diff(textkit.Words(data, offs).first)
-            arrays = [part.column(0), *map(pa.array, scorer.value.evidence(data, offs)), pa.array(n), *part.columns[2:]]
+            arrays = [part.column(0), *map(pa.array, scorer.evidence(data, offs)), pa.array(n), *part.columns[2:]]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "evidence", "strong", "n_words", *part.schema.names[2:]])
 
     return rows.mapInArrow(run, "doc_id long, evidence double, strong double, n_words long" + more)
@@ -219,14 +258,13 @@ def _evidence(rows: DataFrame, scorer, more: str = "") -> DataFrame:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: one row a row of ``docs``. Labels of held-out rows (crc32 of the id mod 4 = 2) are never read."""
-    spark = docs.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold() != 2)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = texts(docs).filter(fold() != 2).filter(in_slots(marks)).join(marks, "doc_id").select("doc_id", "text", "toxic")
-    model = _hashed(fit_model(labelled.filter(fold() != 3))).toArrow()
-    scorer = spark.sparkContext.broadcast(Scorer(model.column("key").to_numpy().view(np.uint64), model.column("value").to_numpy()))
     step = max(1, marks.filter(fold() == 3).count() // CALIBRATION_ROWS)
-    sample = labelled.filter(fold() == 3).filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).filter("length(text) > 0")
+    calibrates = (fold() == 3) & (F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    scorer = written(fit_model(labelled.filter(~calibrates)))
+    sample = labelled.filter(calibrates).filter("length(text) > 0")
     held = _evidence(sample, scorer, ", toxic int").select("evidence", "strong", "toxic").toArrow()
     x, y = np.column_stack([held.column(c).to_numpy() for c in ("evidence", "strong")]), held.column("toxic").to_numpy().astype(float)
     weights = _curve(x, y) if 0 < y.sum() < len(y) else [0.0, 0.0, -30.0]
