@@ -362,6 +362,25 @@ def test_templates(spark):
     assert len({r["class"] for r in classes if r.pages == 6 and r.n == 6}) == 1
 
 
+def test_templates_of_hosts_with_several_layouts(spark):
+    side = "<nav><a href='/'>home</a></nav><div class=tools>Print this page</div>"
+    bodies = {
+        "article": lambda i: (f"<article><p>{prose(40, i)}</article>", prose(40, i)),
+        "plain": lambda i: (f"<div class=x><p>{prose(30, i)}</div>", prose(30, i)),
+        "lighter": lambda i: (f"<section class=y><p>{prose(12, i)}</section>", prose(12, i)),
+        "wrapped": lambda i: (f"<div class=no-sidebar><div class=menu><main><p>{prose(12, i)}</main></div></div>", prose(12, i)),
+    }
+    rows, want = [], {}
+    for host, layouts in (("a", ["article"] * 30 + ["plain"]), ("b", ["plain"] * 6 + ["lighter"] * 3), ("c", ["wrapped"] * 3 + ["plain"] * 3)):
+        for layout in layouts:
+            i = len(rows)
+            text, want[i] = bodies[layout](i)
+            rows.append((i, f"http://{host}.example/{i}", f"<body class='no-sidebar header'>{side}{text}<div class=comments><div class=body>reader {i}</div></div>"))
+    got = {r.page_id: r.text for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # On host a one page alone is plain: text that repeats over the host's pages is furniture there too.
+    assert got == want
+
+
 def test_word_tables_follow_the_definition():
     import pyarrow as pa
 
