@@ -71,3 +71,10 @@ def test_retention_keeps_dense_then_weeks(spark):
     got = sampling.retain_tiered(panel(spark, [1.0] * 90).select("k", "t"), 10, 3, 2, 14).collect()
     tiers = [r.tier for r in got]
     assert len(got) == 14 and tiers.count("dense") == 10 and tiers.count("weekly") == 3
+
+
+def test_episodes_hold_all_signals(spark):
+    from tidewell import queries
+
+    episodes = queries.QUERIES["m7_collapse_episodes"](spark, "/root/testdata/sf0.001")
+    assert episodes.agg(F.sum("n")).first()[0] == queries.signals(spark, "/root/testdata/sf0.001").filter("side IS NOT NULL").count() > 0

@@ -930,7 +930,7 @@ def _(s, d):
 
 @query("m7_collapse_episodes")
 def _(s, d):
-    return M.collapse_episodes(signals(s, d).filter("side IS NOT NULL AND i % 3 = 0"))
+    return M.collapse_episodes(signals(s, d).filter("side IS NOT NULL"))
 
 
 @query(
