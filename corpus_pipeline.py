@@ -12,8 +12,8 @@ from tidewell.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the current rule policy."""
-    return quality_rules.keep_good(docs)
+    """Documents that pass the rule policy under which no text is too long."""
+    return quality_rules.keep_good(docs, "v3")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

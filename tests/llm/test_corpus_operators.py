@@ -192,6 +192,15 @@ def test_quality_rules(docs, empty):
     assert quality_rules.keep_good(docs).columns == docs.columns
 
 
+def test_no_text_is_too_long_for_the_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, prose(1_000_001, 3)), (2, "short")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.quality(spark, docs, "").select("doc_id").collect()] == [1]
+    failed = {r.doc_id: r.failed for r in quality_rules.ledger(docs).collect()}
+    assert failed[1] == quality_rules.BITS["many_words"]
+
+
 def tokenizer(name):
     from tokenizers import Tokenizer
 

@@ -44,6 +44,8 @@ BASE = ("few_words", "repeated_words")
 POLICIES: dict[str, tuple[str, ...]] = {
     "v1": BASE,
     "v2": (*BASE, "symbols", "duplicate_lines", "short_words", "long_words", "many_words"),
+    # Length alone rejects no text: many_words is recorded only.
+    "v3": (*BASE, "symbols", "duplicate_lines", "short_words", "long_words"),
 }
 CURRENT = "v2"
 
