@@ -34,7 +34,7 @@ ORDER = 6
 DISCOUNT = 0.75
 #: Observations that the shared model counts for in every context of a class.
 SHARED_MASS = 8.0
-#: Entries of a model that a worker keeps from block to block; larger ones are read anew for each block, with the same results.
+#: Entries of a model that a worker keeps from block to block of a task; larger ones are read anew for each block, with the same results.
 KEPT_ENTRIES = 1 << 21
 #: Labelled rows, about, to which the curve is fitted; under twice as many.
 CALIBRATION_ROWS = 20_000
@@ -157,7 +157,7 @@ def written(model: DataFrame) -> Scorer:
     return Scorer(folder, files)
 
 
-#: The chunks of the model that a worker keeps, by folder.
+#: The chunks of the model that a worker keeps for a task, by folder.
 _KEPT: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
 
@@ -252,6 +252,8 @@ def _evidence(rows: DataFrame, scorer, more: str = "") -> DataFrame:
             n = np.diff(textkit.Words(data, offs).first)
             arrays = [part.column(0), *map(pa.array, scorer.evidence(data, offs)), pa.array(n), *part.columns[2:]]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "evidence", "strong", "n_words", *part.schema.names[2:]])
+        # Workers are used again by other operators.
+        _KEPT.clear()
 
     return rows.mapInArrow(run, "doc_id long, evidence double, strong double, n_words long" + more)
 
