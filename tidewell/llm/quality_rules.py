@@ -5,7 +5,7 @@ a versioned policy's verdicts from the bits alone, ``ablation`` the effect of le
 distinct bit pattern (at most 2 ** len(RULES) groups, however many rows there are).
 
 Defined results: a null or empty text, or one of white space alone, has no words, so every measurement is 0 and the rule
-``few_words`` fails. Equal rows are judged each on its own, row by row. Texts of any length are measured whole. An empty
+``few_words`` fails; so for a table of such texts alone. A null id stays null. Equal rows are judged each on its own, row by row. Texts of any length are measured whole. An empty
 table gives an empty ledger. Columns of the input other than the id and the text are ignored, whatever their names.
 """
 
@@ -47,7 +47,7 @@ POLICIES: dict[str, tuple[str, ...]] = {
     # Length alone rejects no text: many_words is recorded only.
     "v3": (*BASE, "symbols", "duplicate_lines", "short_words", "long_words"),
 }
-CURRENT = "v2"
+CURRENT = "v3"
 
 
 def mask(version: str) -> int:
@@ -63,20 +63,20 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.cumsum(words.black & ((data & 0xC0) != 0x80), out=letters[1:])
         symbols = np.zeros(len(data) + 1, np.int64)
         np.cumsum(_SYMBOL[data], out=symbols[1:])
-        at, hashes = words.windows(WINDOW)
+        at = words.runs(WINDOW)
         marks = np.zeros(len(words.start), bool)
-        marks[at] = textkit.twice(textkit.by_row(words.row[at], hashes))
+        marks[at] = textkit.twice(textkit.by_row(words.row[at], textkit.window_numbers(words.number[0], WINDOW)[at]))
         again = textkit.covered(marks, WINDOW, words.first[:-1], words.row)
         # Lines: a word's line is the count of line feeds before it; only lines with a word matter.
         feeds = np.flatnonzero(data == 10)
-        line_start = np.unique(np.concatenate([offs[:-1], feeds + 1])) if len(data) else np.zeros(0, np.int64)
+        line_start = np.unique(np.concatenate([offs[:-1], feeds + 1]))
         line_start = line_start[line_start < len(data)]
-        line_end = np.append(line_start[1:], len(data))
+        line_end = np.append(line_start[1:], len(data)) if len(line_start) else line_start
         line_row = np.searchsorted(offs, line_start, "right") - 1
-        line_end = np.where((line_end > line_start) & (data[np.maximum(line_end - 1, 0)] == 10), line_end - 1, line_end)
+        line_end = line_end - (data[line_end - 1] == 10)
         full = np.searchsorted(words.start, line_end) > np.searchsorted(words.start, line_start)
         line_start, line_end, line_row = line_start[full], line_end[full], line_row[full]
-        keys = textkit.by_row(line_row, textkit.spans_hash(textkit.prefix_sums(textkit.byte_codes(data)), line_start, line_end))
+        keys = textkit.by_row(line_row, textkit.numbered(data, line_start, line_end)[0])
         yield pa.RecordBatch.from_arrays(
             [
                 rows.column(0),

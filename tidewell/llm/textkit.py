@@ -1,8 +1,9 @@
 """Array kernels over Arrow text columns: words, rolling hashes, windows, minimisers.
 
 Everything works on one bounded block of rows at a time (``blocks``), so a task's memory is set by the block size and
-its longest row, not by its partition. All hashes are 64-bit and depend on content only, so that tasks, executors and
-retries agree on them.
+its longest row, not by its partition. Rolling hashes are 64-bit and depend on content only, so that tasks, executors and
+retries agree on them; they collide on texts that are made to, so they only propose what is equal: ``numbered`` and
+``window_numbers`` decide by the bytes, and ``Words.digests`` is a real digest for what tasks can't compare.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that one block holds (a longer row is a block of its own).
 BLOCK_BYTES = 1 << 20
@@ -39,13 +41,17 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            out = np.full(size, base, U64)
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0][:n], _powers[1][:n]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_BASE, _BASE_INVERSE):
+        out = np.full(max(n, BLOCK_BYTES + 2), base, U64)
+        out[0] = 1
+        made.append(np.multiply.accumulate(out))
+    # Those of a row that is longer than a block are not kept.
+    if n <= BLOCK_BYTES + 2:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
@@ -89,8 +95,55 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
             at = to
 
 
+def _differ(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each span start..end has other bytes than the span other..other_end."""
+    out = end - start != other_end - other
+    rest = np.flatnonzero(~out & (start != other) & (end > start))
+    size = (end - start)[rest]
+    total = np.append(0, np.cumsum(size))
+    at = 0
+    while at < len(rest):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + BLOCK_BYTES, "right")) - 1)
+        n, k = size[at:to], rest[at:to]
+        place = np.repeat(start[k] - (total[at:to] - total[at]), n) + np.arange(int(total[to] - total[at]))
+        unlike = data[place] != data[place - np.repeat(start[k] - other[k], n)]
+        out[k] = np.logical_or.reduceat(unlike, total[at:to] - total[at])
+        at = to
+    return out
+
+
+def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each span, a span of each number): spans have one number if and only if their bytes are equal."""
+    _, at, number = np.unique(spans_hash(prefix_sums(_CODE[data]), start, end), return_index=True, return_inverse=True)
+    wrong = np.flatnonzero(_differ(data, start, end, start[at[number]], end[at[number]])) if len(number) else number
+    if len(wrong):
+        known: dict[bytes, int] = {}
+        firsts = []
+        for k in wrong.tolist():
+            piece = data[start[k] : end[k]].tobytes()
+            if piece not in known:
+                known[piece] = len(at) + len(known)
+                firsts.append(k)
+            number[k] = known[piece]
+        at = np.append(at, firsts)
+    return number, at
+
+
+def window_numbers(number: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of n numbers (fewer runs than numbers by n - 1), equal if and only if the runs are equal."""
+    width = 1
+    while width < n:
+        step = min(width, n - width)
+        if len(number) <= step:
+            return np.zeros(0, np.int64)
+        a, b = number[:-step], number[step:]
+        number = np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
+        width += step
+    return number
+
+
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the rows of a block: places, rows and hashes."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the rows of a block: places, rows, numbers and hashes."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False):
         self.data, self.offs = (_LOWER[data] if lower else data), offs
@@ -109,6 +162,7 @@ class Words:
         self.first = np.searchsorted(self.start, offs)
         self.row = np.repeat(np.arange(len(offs) - 1), np.diff(self.first))
         self._hash: np.ndarray | None = None
+        self._number: tuple[np.ndarray, np.ndarray] | None = None
 
     @property
     def hash(self) -> np.ndarray:
@@ -116,11 +170,29 @@ class Words:
             self._hash = spans_hash(prefix_sums(_CODE[self.data]), self.start, self.end)
         return self._hash
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of every run of n words within one row."""
-        hashes = windows_hash(prefix_sums(self.hash), n)
-        at = np.flatnonzero(np.arange(len(hashes)) + n <= self.first[self.row[: len(hashes)] + 1])
-        return at, hashes[at]
+    @property
+    def number(self) -> tuple[np.ndarray, np.ndarray]:
+        """``numbered`` of the words: numbers hold within the block only."""
+        if self._number is None:
+            self._number = numbered(self.data, self.start, self.end)
+        return self._number
+
+    @property
+    def distinct(self) -> list[bytes]:
+        """The distinct words, by number."""
+        raw, at = self.data.tobytes(), self.number[1]
+        return [raw[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits for each word, in two halves: what other tasks know it by."""
+        digest = xxhash.xxh3_128_digest
+        both = np.frombuffer(b"".join([digest(w) for w in self.distinct]), np.dtype("<u8")).reshape(-1, 2)[self.number[0]]
+        return both[:, 0], both[:, 1]
+
+    def runs(self, n: int) -> np.ndarray:
+        """First words of all runs of n words within one row."""
+        count = max(0, len(self.start) - n + 1)
+        return np.flatnonzero(np.arange(count) + n <= self.first[self.row[:count] + 1])
 
 
 def byte_codes(data: np.ndarray) -> np.ndarray:
@@ -153,9 +225,9 @@ def covered(marks: np.ndarray, n: int, first: np.ndarray, row: np.ndarray) -> np
     return total[1:] > total[np.maximum(place - n + 1, first[row])]
 
 
-def by_row(row: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Keys that are equal only within one row."""
-    return keys ^ mix(row.astype(U64) + U64(0x51ED270B))
+def by_row(row: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Numbers that are equal only within one row."""
+    return row * (int(number.max(initial=0)) + 1) + number
 
 
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:

@@ -1,88 +1,44 @@
-"""Token ids of whole texts by the tokenizers library, piece by piece.
+"""Token ids of whole texts, as the tokenizers library gives them.
 
-Byte-level tokenizers split text before white space, so a run of white space with the word behind it is encoded alike
-wherever it stands. A task encodes each distinct piece once and gathers the rest from a table. Rows with white space
-outside ASCII, next to which that doesn't hold, are one piece. The table of pieces is emptied when it is full.
+Where a byte-level vocabulary's ids are its merges' ranks, ``tiktoken`` gives the same ids from the same text several times
+faster. Texts that it can't take (they hold an added token's content, or a run of white space so long that its matcher
+gives up) go through ``tokenizers`` itself. Every text is encoded whole, from its own bytes.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import os
 from functools import lru_cache
 
 import numpy as np
+import regex
 
-from . import textkit
-
-U64 = np.uint64
-#: White space of Unicode beyond ASCII, in UTF-8.
-_OTHER_WHITE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-TABLE_PIECES = 1_000_000
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: Runs of white space that only ``tokenizers`` reads.
+_WIDE = regex.compile(r"\s{20000}")
+
 
+class TextEncoder:
+    """Ids of the rows of a block."""
 
-def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at a row's start, and at white space behind a word."""
-    white = textkit._WHITE[data]
-    start = white.copy()
-    start[1:] &= ~white[:-1]
-    full = offs[:-1][np.diff(offs) > 0]
-    if len(data):
-        start[0] = False
-    start[full] = False
-    other = {int(np.searchsorted(offs, m.start(), "right")) - 1 for m in _OTHER_WHITE.finditer(data.tobytes())}
-    for row in other:
-        start[offs[row] : offs[row + 1]] = False
-    start[full] = True
-    return np.flatnonzero(start)
-
-
-class PieceTable:
-    """Distinct pieces by hash, each with an array of ids."""
-
-    def __init__(self, encode):
-        self.encode = encode
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.offs = [0]
-
-    def add(self, hashes: list[int], pieces: list[str]) -> None:
-        for h, ids in zip(hashes, self.encode(pieces), strict=True):
-            self.number[h] = len(self.offs) - 1
-            end = self.offs[-1] + len(ids)
-            if end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.offs[-1] : end] = ids
-            self.offs.append(end)
+    def __init__(self, whole, fast=None, added: tuple[str, ...] = ()):
+        self.whole, self.fast, self.added = whole, fast, added
+
+    def encode(self, text: str) -> list[int]:
+        if self.fast is None or any(t in text for t in self.added) or (len(text) >= 20000 and _WIDE.search(text)):
+            return self.whole(text)
+        return self.fast(text)
 
     def block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and the first of each row."""
-        if len(self.number) > TABLE_PIECES:
-            self.clear()
-        start = piece_starts(data, offs)
-        end = np.append(start[1:], len(data))
-        hashes = textkit.spans_hash(textkit.prefix_sums(textkit.byte_codes(data)), start, end)
-        unique, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        missing = [k for k, h in enumerate(keys) if h not in self.number]
-        if missing:
-            raw = data.tobytes()
-            self.add([keys[k] for k in missing], [raw[start[at[k]] : end[at[k]]].decode() for k in missing])
-        numbers = np.array([self.number[h] for h in keys], np.int64)[which] if keys else np.zeros(0, np.int64)
-        table = np.array(self.offs, np.int64)
-        size = table[numbers + 1] - table[numbers]
-        total = np.append(0, np.cumsum(size))
-        source = np.repeat(table[numbers] - total[:-1], size) + np.arange(total[-1])
-        return self.flat[source], total[np.searchsorted(start, offs)]
+        raw = data.tobytes()
+        rows = [np.array(self.encode(raw[a:b].decode()), np.uint32) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        return np.concatenate([*rows, np.zeros(0, np.uint32)]), np.append(0, np.cumsum([len(r) for r in rows], dtype=np.int64))
 
 
 def _rank_encoder(path: str):
-    """An encoder of plain pieces by ``tiktoken``, if the vocabulary's ids are its merges' ranks; then both libraries give the same ids."""
-    import json
-
+    """An encoder of plain texts by ``tiktoken``, if the vocabulary's ids are its merges' ranks; then both libraries give the same ids."""
     from .bpe_automaton import byte_characters
 
     with open(path, encoding="utf-8") as file:
@@ -97,29 +53,26 @@ def _rank_encoder(path: str):
 
     ranks = {bytes(code[c] for c in token): i for token, i in vocabulary.items()}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @lru_cache(maxsize=2)
-def tokenizer_table(path: str) -> PieceTable:
-    """Pieces get the ids that ``tokenizers`` gives with ``encode(text, add_special_tokens=False)``. A worker keeps its table from task to task."""
-    import json
-    import os
-
+def text_encoder(path: str) -> TextEncoder:
+    """Texts get the ids that ``tokenizers`` gives with ``encode(text, add_special_tokens=False)``."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    whole = lambda pieces: [e.ids for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
-    fast = _rank_encoder(path) if json.loads(tokenizer.to_str())["pre_tokenizer"] == _BYTE_LEVEL else None
-    if fast is None:
-        return PieceTable(whole)
-    with open(path, encoding="utf-8") as file:
-        added = [t["content"] for t in json.load(file)["added_tokens"]]
+    held = json.loads(tokenizer.to_str())
+    fast = _rank_encoder(path) if held["pre_tokenizer"] == _BYTE_LEVEL and held["normalizer"] is None else None
+    return TextEncoder(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, fast, tuple(t["content"] for t in held["added_tokens"]))
 
-    def encode(pieces: list[str]) -> list[list[int]]:
-        return [whole([p])[0] if any(t in p for t in added) else fast(p) for p in pieces]
 
-    return PieceTable(encode)
+def id_type(path: str) -> str:
+    """The narrowest little-endian type that holds every id of a vocabulary, as NumPy names it."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    largest = max([*held["model"]["vocab"].values(), *(t["id"] for t in held["added_tokens"])])
+    return "<u2" if largest <= 0xFFFF else "<u4"
