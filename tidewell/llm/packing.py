@@ -1,10 +1,11 @@
 """Vector bin packing of documents into sequences under several limits at once.
 
-Every piece has a vector: tokens, segments (one) and loss-bearing tokens. Whole sequences are cut from long documents
-first. The rest fills open sequences: of all waiting pieces that fit, the one whose vector has the largest dot product
+Every piece has a vector: tokens, segments (one) and loss-bearing tokens. Of 1024 tokens 1023 have a next one to predict, so
+that is the limit of loss-bearing tokens: a sequence holds a closing id, which bears none, or leaves one token free. Whole
+sequences are cut from long documents first. The rest fills open sequences: of all waiting pieces that fit, the one whose vector has the largest dot product
 with the room that is left (both scaled by the limits) comes next. When none fits, one is cut to fill the room; room
 of up to ``SLACK`` tokens is left as padding rather than cut for. Tasks pack their own rows, a lot at a time, with nothing
-shuffled; a task leaves at most one sequence unfilled.
+shuffled; each lot of ``LOT`` documents leaves at most one sequence unfilled.
 
 Defined results: a null or empty text is one piece of the closing id alone. Rows are packed one by one, equal or not. A
 null doc_id stays null. An empty table gives no pieces. Other columns are ignored, whatever their names.
@@ -24,25 +25,35 @@ from . import textkit, token_ids
 from .common import texts
 
 #: Tokens, segments, loss-bearing tokens of one sequence.
-LIMITS = (1024, 64, 1024)
+LIMITS = (1024, 512, 1023)
 SLACK = 4
 #: Documents that are packed together.
 LOT = 4096
 CLOSING_ID = 0
 
 
-def pack(sizes: np.ndarray, loss: Callable[[int, int, int], int], limits: tuple[int, int, int] = LIMITS, slack: int = SLACK, last: bool = True) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences as lists of (item, start, length). loss(item, start, length): loss-bearing tokens of a piece; at most its length."""
+def pack(sizes: np.ndarray, loss: Callable[[int, int, int], int], limits: tuple[int, int, int] = LIMITS, slack: int = SLACK) -> Iterator[list[tuple[int, int, int]]]:
+    """Sequences as lists of (item, start, length). loss(item, start, length): loss-bearing tokens of a piece; it grows with the length, and is at most 1 more for each token."""
+
+    def longest(item: int, at: int, most: int, room: float) -> int:
+        if loss(item, at, most) <= room:
+            return most
+        low, high = 0, most
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if loss(item, at, middle) <= room else (low, middle)
+        return low
+
     room_tokens, room_segments, room_loss = limits
     scale = np.array([1 / x for x in limits])
     waiting = []
     for item, size in enumerate(sizes.tolist()):
         at = 0
         while size - at >= room_tokens:
-            length = room_tokens
-            while loss(item, at, length) > room_loss:
-                length = length // 2
-            if length == room_tokens:
+            length = longest(item, at, room_tokens, room_loss)
+            if not length:
+                raise ValueError(f"a token of item {item} bears more loss than a sequence may")
+            if length >= room_tokens - slack:
                 yield [(item, at, length)]
             else:
                 waiting.append((item, at, length))
@@ -75,10 +86,10 @@ def pack(sizes: np.ndarray, loss: Callable[[int, int, int], int], limits: tuple[
                 # The largest piece that waits is cut to the room.
                 best = int(np.where(free, vector[:, 0], -1).argmax())
                 item, at, length = waiting[best]
-                take = min(length, int(room[0]))
-                while take and loss(item, at, take) > room[2]:
-                    take //= 2
+                take = longest(item, at, min(length, int(room[0])), room[2])
                 if not take:
+                    if not inside:
+                        raise ValueError(f"a token of item {item} bears more loss than a sequence may")
                     break
                 inside.append((item, at, take))
                 room -= (take, 1, loss(item, at, take))
@@ -97,12 +108,12 @@ def pack(sizes: np.ndarray, loss: Callable[[int, int, int], int], limits: tuple[
 
 def _lots(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(ids of documents, token ids with the closing id, first of each document) of consecutive documents."""
-    table = token_ids.tokenizer_table(path)
+    encoder = token_ids.text_encoder(path)
     names: list = []
     parts: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
     for rows, data, offs in textkit.blocks(batches):
-        flat, first = table.block(data, offs)
+        flat, first = encoder.block(data, offs)
         parts.append(np.insert(flat, first[1:], CLOSING_ID))
         sizes.append(np.diff(first) + 1)
         names += rows.column(0).to_pylist()
