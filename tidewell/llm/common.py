@@ -17,13 +17,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, as in tests, one is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset one is set, on a single machine alone."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
         held = context._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors share no folder")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -33,11 +35,11 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame, purpose: str) -> DataFrame:
+def materialized(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFrame:
     """The rows written once to the shared folder and read back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     folder = new_folder(spark, purpose)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -1,13 +1,11 @@
 """Training-order materialisation: token sequences written to fixed-stride shards in a keyed random order.
 
-Texts become token ids, each closed by ``CLOSING_ID``; every input partition is cut into sequences of one length, the last
-filled up. A first pass counts each partition's sequences, which numbers all of them without gaps. A keyed Feistel network
-over the smallest even number of bits, walked on until it falls inside the range, permutes these numbers: a sequence's
-global slot. Slots are dealt to shards by range; a shard is a file in which sequence ``slot`` begins at byte
-``(slot - first slot) * stride``, so that a reader resumes anywhere by one seek and reads on in training order.
-
-The two passes must see the same partitions: ``docs`` is a table scan, or was written before. A partition whose count
-differs in the second pass stops the job. Shards of failed tasks have names that no manifest holds.
+Texts become token ids once, each closed by ``CLOSING_ID``; every task cuts its ids into sequences of one length, the last
+filled up, and writes them, numbered by task and place, in the width that the vocabulary needs. Counts by task number all
+of them without gaps. A keyed Feistel network over the smallest even number of bits, walked on until it falls inside the
+range, permutes these numbers: a sequence's global slot. Slots are partitioned by range and sorted; a range is written as a
+shard, a file in which sequence ``slot`` begins at byte ``(slot - first slot) * stride``, so that a reader resumes anywhere by
+one seek and reads on in training order. Shards of failed tasks have names that no manifest holds.
 
 Defined results: a null or empty text is the closing id alone. Rows are written one by one, equal or not; a null doc_id is
 named by null. Texts of any length are written whole, over as many sequences as they need. An empty table gives no shards
@@ -21,9 +19,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit, token_ids
@@ -56,140 +55,129 @@ def permuted(x: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _streams(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(ids of documents, token ids, first of each document) of blocks."""
-    table = token_ids.tokenizer_table(path)
-    for rows, data, offs in textkit.blocks(batches):
-        flat, first = table.block(data, offs)
-        yield rows.column(0).to_pylist(), np.insert(flat, first[1:], CLOSING_ID), first + np.arange(len(first))
-
+_SEQUENCE = "part long, number long, n_tokens int, doc_ids array<long>, ids binary"
 
-def _counts(docs: DataFrame, path: str) -> dict[int, int]:
-    """Tokens by partition; one row a partition comes to the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(len(flat) for _, flat, _ in _streams(batches, path))
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "tokens": [total]})
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
-    return {r.part: r.tokens for r in docs.mapInArrow(run, "part long, tokens long").collect()}
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """One binary value for each row of a table of numbers."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
-_SEQUENCE = "shard long, slot long, sequence long, n_tokens int, doc_ids array<long>, ids binary"
 
-
-def _sequences(docs: DataFrame, path: str, length: int, key: int, tokens: dict[int, int]) -> DataFrame:
-    counts = {p: -(-n // length) for p, n in tokens.items()}
-    base, total = {}, 0
-    for p in sorted(counts):
-        base[p] = total
-        total += counts[p]
+def _cut(docs: DataFrame, path: str, length: int) -> DataFrame:
+    """The sequences of all texts, numbered within their tasks."""
+    width = token_ids.id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        encoder = token_ids.text_encoder(path)
         done = 0
-        rest, owners = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        names: list = []
-
-        def cut(count: int) -> pa.RecordBatch:
-            number = base[part] + done + np.arange(count)
-            slot = permuted(number, total, key)
-            used = np.minimum(length, np.maximum(len(rest) - np.arange(count) * length, 0))
-            body = np.full(count * length, CLOSING_ID, "<u4")
-            body[: min(len(rest), count * length)] = rest[: count * length]
-            ids = [[names[i] for i in dict.fromkeys(owners[k * length : (k + 1) * length].tolist())] for k in range(count)]
-            rows = body.reshape(count, length)
-            arrays = [pa.array(slot // SHARD), pa.array(slot), pa.array(number), pa.array(used.astype(np.int32)), pa.array(ids, pa.list_(pa.int64())), pa.array([r.tobytes() for r in rows], pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _SEQUENCE.split(", ")])
-
-        for more, flat, first in _streams(batches, path):
-            rest = np.concatenate([rest, flat])
-            owners = np.concatenate([owners, len(names) + np.repeat(np.arange(len(more)), np.diff(first))])
-            names += more
+        rest, owner, names = np.zeros(0, np.uint32), np.zeros(0, np.int64), pa.array([], pa.int64())
+
+        def rows(count: int) -> pa.RecordBatch:
+            used = np.minimum(length, len(rest) - np.arange(count) * length)
+            ids = np.full(count * length, CLOSING_ID, width)
+            ids[: len(rest)] = rest[: count * length]
+            own = owner[: count * length]
+            # The documents of a sequence, in order; one that goes on from the sequence before is named again.
+            new = np.append(True, own[1:] != own[:-1])
+            new[::length] = True
+            at = np.flatnonzero(new)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(count + 1) * length), pa.int32()), names.take(pa.array(own[at])))
+            arrays = [pa.array(np.full(count, part)), pa.array(done + np.arange(count)), pa.array(used.astype(np.int32)), lists, _binary(ids.reshape(count, length))]
+            return pa.RecordBatch.from_arrays(arrays, names=_names(_SEQUENCE))
+
+        for batch, data, offs in textkit.blocks(batches):
+            flat, first = encoder.block(data, offs)
+            rest = np.concatenate([rest, np.insert(flat, first[1:], CLOSING_ID)])
+            owner = np.concatenate([owner, len(names) + np.repeat(np.arange(batch.num_rows), np.diff(first) + 1)])
+            names = pa.concat_arrays([names, batch.column(0)])
             if count := len(rest) // length:
-                yield cut(count)
+                yield rows(count)
                 done += count
-                rest, owners = rest[count * length :], owners[count * length :]
-                low = int(owners[0]) if len(owners) else len(names)
-                names, owners = names[low:], owners - low
+                rest, owner = rest[count * length :], owner[count * length :]
+                low = int(owner[0]) if len(owner) else len(names)
+                names, owner = names[low:], owner - low
         if len(rest):
-            yield cut(1)
-            done += 1
-        if done != counts.get(part, 0):
-            raise RuntimeError(f"partition {part} has {done} sequences, and had {counts.get(part, 0)} when they were counted")
+            yield rows(1)
 
     return docs.mapInArrow(run, _SEQUENCE)
 
 
-_MANIFEST = "slot long, sequence long, shard long, file string, offset long, n_tokens int, doc_ids array<long>, ids_crc32 long"
+_MANIFEST = "slot long, sequence long, shard long, file string, offset long, id_bytes int, n_tokens int, doc_ids array<long>, ids_crc32 long"
 
 
 def written(docs: DataFrame, path: str, length: int = LENGTH, key: int = KEY, folder: str | None = None) -> DataFrame:
-    """The manifest: a row for each sequence, with the file and byte offset where it stands. Ids are little-endian 16-bit numbers; a larger id stops the job."""
+    """The manifest: a row for each sequence, with the file and byte offset where it stands. Ids are little-endian numbers of ``id_bytes`` bytes."""
     spark = docs.sparkSession
-    rows = texts(docs)
-    tokens = _counts(rows, path)
-    total = sum(-(-n // length) for n in tokens.values())
+    width = token_ids.id_type(path)
+    size = np.dtype(width).itemsize
+    cut = materialized(_cut(texts(docs), path, length), "sequences", compression="zstd")
+    # A row for each task that cut sequences.
+    counts = cut.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     folder = folder or new_folder(spark, "shards")
 
+    @F.pandas_udf("long")
+    def slot(number: pd.Series) -> pd.Series:
+        return pd.Series(permuted(number.to_numpy(), total, key))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        table = table.take(pa.compute.sort_indices(table, [("slot", "ascending")]))
         store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        shards = table.column("shard").to_numpy()
-        for at in np.flatnonzero(np.append(True, shards[1:] != shards[:-1])).tolist():
-            part = table.slice(at, int((shards == shards[at]).sum()))
-            name = f"shard-{shards[at]:08d}-{uuid.uuid4().hex}.bin"
-            crcs = []
-            with store.open_output_stream(f"{root}/{name}") as file:
-                for piece in part.column("ids").to_pylist():
-                    ids = np.frombuffer(piece, "<u4")
-                    if ids.max(initial=0) > 0xFFFF:
-                        raise ValueError("an id has more than 16 bits")
-                    ids = ids.astype("<u2")
-                    file.write(ids.tobytes())
-                    crcs.append(zlib.crc32(piece))
-            slots = part.column("slot").to_numpy()
-            arrays = [
-                part.column("slot").combine_chunks(),
-                part.column("sequence").combine_chunks(),
-                part.column("shard").combine_chunks(),
-                pa.array([f"{folder}/{name}"] * part.num_rows),
-                pa.array((slots - shards[at] * SHARD) * length * 2),
-                part.column("n_tokens").combine_chunks(),
-                part.column("doc_ids").combine_chunks(),
-                pa.array(crcs, pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _MANIFEST.split(", ")])
-
-    shards = max(1, -(-total // SHARD))
-    dealt = _sequences(rows, path, length, key, tokens).repartition(shards, "shard")
-    return materialized(dealt.mapInArrow(run, _MANIFEST), "manifest")
+        file, shard, name = None, -1, ""
+        try:
+            for batch in batches:
+                slots = batch.column(0).to_numpy()
+                numbers = slots // SHARD
+                crcs, names = [], []
+                for number, piece in zip(numbers.tolist(), batch.column(4).to_pylist(), strict=True):
+                    if number != shard:
+                        if file is not None:
+                            file.close()
+                        shard, name = number, f"shard-{number:08d}-{uuid.uuid4().hex}.bin"
+                        store.create_dir(root, recursive=True)
+                        file = store.open_output_stream(f"{root}/{name}")
+                    file.write(piece)
+                    crcs.append(zlib.crc32(np.frombuffer(piece, width).astype("<u4").tobytes()))
+                    names.append(f"{folder}/{name}")
+                offset = (slots - numbers * SHARD) * length * size
+                arrays = [batch.column(0), batch.column(1), pa.array(numbers), pa.array(names, pa.string()), pa.array(offset), pa.array(np.full(len(slots), size, np.int32)), batch.column(2), batch.column(3), pa.array(crcs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=_names(_MANIFEST))
+        finally:
+            if file is not None:
+                file.close()
+
+    numbered = cut.join(F.broadcast(before), "part").withColumn("sequence", F.col("number") + F.col("base"))
+    slotted = numbered.select(slot("sequence").alias("slot"), "sequence", "n_tokens", "doc_ids", "ids")
+    # Slots are the numbers below the total, so the bounds of the ranges are known without a sample.
+    ranges = slotted.repartitionById(max(1, -(-total // SHARD)), F.floor(F.col("slot") / SHARD).cast("int"))
+    return materialized(ranges.sortWithinPartitions("slot").mapInArrow(run, _MANIFEST), "manifest")
 
 
 def sequences(manifest: DataFrame, length: int = LENGTH, start_slot: int = 0) -> DataFrame:
-    """The manifest's rows from a slot on, with the ids read back from their shards."""
+    """The manifest's rows from a slot on, with the ids (32 bits each) read back from their shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        opened: dict[str, object] = {}
+        uri, file = None, None
         for batch in batches:
             ids = []
-            for uri, offset in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if uri not in opened:
-                    for file in opened.values():
+            for now, offset, size in zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)), strict=True):
+                if now != uri:
+                    if file is not None:
                         file.close()
-                    store, path = fs.FileSystem.from_uri(uri)
-                    opened = {uri: store.open_input_file(path)}
-                file = opened[uri]
+                    store, path = fs.FileSystem.from_uri(now)
+                    uri, file = now, store.open_input_file(path)
                 file.seek(offset)
-                ids.append(np.frombuffer(file.read(length * 2), "<u2").astype("<u4").tobytes())
+                ids.append(np.frombuffer(file.read(length * size), f"<u{size}").astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "ids"])
 
     return manifest.filter(F.col("slot") >= start_slot).mapInArrow(run, _MANIFEST + ", ids binary")
