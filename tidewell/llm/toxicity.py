@@ -11,7 +11,7 @@ counted words. Where neither class has seen an n-gram, the classes' difference d
 holds seen n-grams and contexts only, all of them: it is a table in the shared folder that tasks read in sorted chunks, so
 its size bounds no result and no memory.
 
-Defined results: null and empty texts have score 0. Texts are scored one by one, whole, equal or not. Labels that are null
+Defined results: null and empty texts have score 0. A row without an id has no label and a null ``held_out``. Texts are scored one by one, whole, equal or not. Labels that are null
 are ignored; of several labels for one id the largest holds. Without any labels of both classes every score is 0. An empty
 table gives an empty result. Extra columns, whatever their names, are never inputs.
 """
@@ -52,16 +52,12 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
     """(word, toxic, n) of lower-cased words, summed inside tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in textkit.blocks(batches, size=1 << 23):
+        for rows, data, offs in textkit.blocks(batches):
             words = textkit.Words(data, offs, lower=True)
             toxic = rows.column(2).to_numpy(zero_copy_only=False)[words.row]
-            keys = words.hash ^ textkit.mix(toxic.astype(U64) + U64(77))
-            _, at, n = np.unique(keys, return_index=True, return_counts=True)
-            raw = words.data.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([raw[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)], pa.binary()), pa.array(toxic[at].astype(np.int32)), pa.array(n)],
-                names=["word", "toxic", "n"],
-            )
+            kind, n = np.unique(2 * words.number[0] + toxic, return_counts=True)
+            word = pa.array(words.distinct, pa.binary()).take(pa.array(kind // 2))
+            yield pa.RecordBatch.from_arrays([word, pa.array((kind % 2).astype(np.int32)), pa.array(n)], names=["word", "toxic", "n"])
 
     return labelled.mapInArrow(run, "word binary, toxic int, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
 
@@ -91,9 +87,6 @@ def _shared(grams: DataFrame) -> DataFrame:
     for _ in range(ORDER - 1):
         shorter = levels[-1].filter("length(g) > 1").select(cut("g").alias("g"))
         levels.append(materialized(shorter.groupBy("g").agg(F.count("*").alias("c")).filter("length(g) > 0"), "toxicity-level").select("g", "c"))
-        if len(levels) == ORDER:
-            break
-        levels[-1] = levels[-1]
     counted = levels[1]
     for more in levels[2:]:
         counted = counted.unionByName(more)
@@ -203,7 +196,7 @@ class Scorer:
         words = textkit.Words(data, offs, lower=True)
         if not len(words.start):
             return np.zeros(len(offs) - 1), np.zeros(len(offs) - 1)
-        _, at, which = np.unique(words.hash, return_index=True, return_inverse=True)
+        which, at = words.number
         start, size = words.start[at], words.end[at] - words.start[at]
         # The distinct words, each between spaces, and a 0 behind for the contexts' own entries.
         begin = np.append(0, np.cumsum(size + 2))
