@@ -11,7 +11,8 @@ Steps, all keyed by single documents or by table keys:
    so that copies, however many, enter the tables once.
 2. Tables: each task groups its own keys first and sends one row a key, so no key has more rows than there are tasks.
    Members of a bucket are paired with its hub, chosen by one of a few orders; nothing emits all pairs.
-3. Candidates are confirmed on their full sets. Components come from confirmed links.
+3. Candidates are confirmed on their full sets, whose shingles are compared by their words' bytes. Components come from
+   confirmed links. (Equal sets are told by 128 bits of digests.)
 4. The rest, exactly: documents of buckets that still hold several components are compared by a prefix filter over their
    own shingles, rarest first, which finds every link that the hubs missed.
 
@@ -42,23 +43,42 @@ _SEEDS = textkit.mix(np.arange(1, 2 * HASHES + 1, dtype=U64) * U64(0xD1342543DE8
 _ADD, _TIMES = _SEEDS[:HASHES], _SEEDS[HASHES:] | U64(1)
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each row, sorted, and where each row's begin."""
+def _sets(row: np.ndarray, shingle: np.ndarray, rows: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct shingles of each row, sorted, what belongs to them, and where each row's begin."""
+    order = np.lexsort((shingle, row))
+    row, shingle = row[order], shingle[order]
+    keep = np.ones(len(row), bool)
+    keep[1:] = (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1])
+    return shingle[keep], *(x[order][keep] for x in more), np.searchsorted(row[keep], np.arange(rows + 1))
+
+
+def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each row, by the digests of their words: sorted first halves, second halves, and where each row's begin."""
     words = textkit.Words(data, offs, lower=True)
-    at, hashes = words.windows(n)
-    row = words.row[at]
+    at = words.runs(n)
     count = np.diff(words.first)
     short = np.flatnonzero((count > 0) & (count < n))
-    if len(short):
-        sums = textkit.prefix_sums(words.hash)
+    row = np.concatenate([words.row[at], short])
+    halves = []
+    for half in words.digests():
+        sums = textkit.prefix_sums(half)
         whole = textkit.spans_hash(sums, words.first[short], words.first[short + 1])
-        row, hashes = np.concatenate([row, short]), np.concatenate([hashes, whole])
-    order = np.lexsort((hashes, row))
-    row, hashes = row[order], hashes[order]
-    keep = np.ones(len(row), bool)
-    keep[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
-    row, hashes = row[keep], hashes[keep]
-    return hashes, np.searchsorted(row, np.arange(len(offs)))
+        halves.append(np.concatenate([textkit.windows_hash(sums, n)[at], whole]))
+    return _sets(row, halves[0], len(offs) - 1, halves[1])
+
+
+def exact_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each row as numbers, sorted, and where each row's begin. Two shingles have one number if and only if their words have equal bytes."""
+    words = textkit.Words(data, offs, lower=True)
+    count = np.diff(words.first)
+    # A text of fewer words is filled up with a number that no word has.
+    fill = np.where((count > 0) & (count < n), n - count, 0)
+    number = np.insert(words.number[0] + 1, np.repeat(words.first[1:], fill), 0)
+    first = words.first + np.append(0, np.cumsum(fill))
+    row = np.repeat(np.arange(len(count)), np.diff(first))
+    shingle = textkit.window_numbers(number, n)
+    at = np.flatnonzero(np.arange(len(shingle)) + n <= first[row[: len(shingle)] + 1])
+    return _sets(row[at], shingle[at], len(count))
 
 
 def _sums_by_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -68,12 +88,12 @@ def _sums_by_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, rep, sig): h1, h2 name the set; rep is the smallest id of the task with that set; sig is there for these alone."""
+    """(doc_id, n_shingles, h1, h2, rep, sig): h1, h2 name the set, by sums of both halves of its shingles' digests; rep is the smallest id of the task with that set; sig is there for these alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, h1, h2, sigs = [], [], [], [], []
         for rows, data, offs in textkit.blocks(batches):
-            sets, first = shingle_sets(data, offs, n)
+            sets, second, first = shingle_sets(data, offs, n)
             size = np.diff(first)
             full = np.flatnonzero(size)
             sig = np.zeros((rows.num_rows, HASHES), np.uint32)
@@ -83,7 +103,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
             ids.append(np.array(rows.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)))
             sizes.append(size)
             h1.append(_sums_by_row(textkit.mix(sets), first))
-            h2.append(_sums_by_row(textkit.mix(sets ^ U64(0x2545F4914F6CDD1D)), first))
+            h2.append(_sums_by_row(textkit.mix(second), first))
             sigs.append(sig)
         if not ids:
             return
@@ -207,15 +227,18 @@ def confirm(pairs: DataFrame, held: DataFrame, n: int, percent: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            size = np.append(0, np.cumsum(np.diff(textkit.text_bytes(whole.column(2))[1])))
+            at = 0
+            while at < whole.num_rows:
+                to = min(at + 256, max(at + 1, int(np.searchsorted(size, size[at] + textkit.BLOCK_BYTES, "right")) - 1))
+                batch, at = whole.slice(at, to - at), to
                 # A hub's rows stand together, so that its set is made once.
                 _, first, which = np.unique(batch.column(1).to_numpy(), return_index=True, return_inverse=True)
-                x, fx = shingle_sets(*textkit.text_bytes(batch.column(2)), n)
-                y, fy = shingle_sets(*textkit.text_bytes(batch.column(3).take(pa.array(first))), n)
+                data, offs = textkit.text_bytes(pa.chunked_array([batch.column(2), batch.column(3).take(pa.array(first))]))
+                sets, begin = exact_sets(data, offs, n)
                 good = np.zeros(batch.num_rows, bool)
-                for k, h in enumerate(which.tolist()):
-                    p, q = x[fx[k] : fx[k + 1]], y[fy[h] : fy[h + 1]]
+                for k, h in enumerate((which + batch.num_rows).tolist()):
+                    p, q = sets[begin[k] : begin[k + 1]], sets[begin[h] : begin[h + 1]]
                     if len(p) and 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
                         both = len(np.intersect1d(p, q, assume_unique=True))
                         good[k] = 100 * both >= percent * (len(p) + len(q) - both)
@@ -231,7 +254,7 @@ def _prefix_rows(held: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in textkit.blocks(batches):
-            sets, first = shingle_sets(data, offs, n)
+            sets, _, first = shingle_sets(data, offs, n)
             size = np.diff(first)
             ids = rows.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(np.repeat(size, size).astype(np.int32)), pa.array(sets.view(np.int64))], names=["doc_id", "size", "shingle"])
