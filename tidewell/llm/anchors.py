@@ -9,7 +9,10 @@ windows have equal anchors at the same distance, so:
   a task already knows to be a repetition of its own earlier windows is settled there and never sent, so a passage that
   stands in a third of all rows reaches a group once a task.
 * the operator (suffix array or suffix tree) finds equal windows inside groups by comparing tokens themselves.
+
 * ``with_spans``: the found spans meet their texts again; the shuffle of the texts by id is the one of the contexts, reused.
+
+Hashes only propose: every window that is removed has been compared with an earlier one, token by token and byte by byte.
 """
 
 from __future__ import annotations
@@ -181,6 +184,25 @@ def _context_rows(bucket, lead, doc, lo, windows, anchor, span, piece) -> pa.Rec
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def _known(hashes: np.ndarray, token: np.ndarray, data: np.ndarray, token_start: np.ndarray, token_end: np.ndarray, n: int) -> np.ndarray:
+    """Whether a window's tokens are those of an earlier one with its hash; tokens themselves are compared."""
+    order = np.argsort(hashes, kind="stable")
+    new = np.append(True, hashes[order][1:] != hashes[order][:-1])
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    again, head = order[~new], head[~new]
+    if not len(again):
+        return np.zeros(len(hashes), bool)
+    single = len(token_end) == 0 or bool((token_end - token_start == 1).all())
+    number = data[token_start] if single else textkit.numbered(data, token_start, token_end)[0]
+    same = np.ones(len(again), bool)
+    x, y = token[again], token[head]
+    for k in range(n):
+        same &= number[x + k] == number[y + k]
+    out = np.zeros(len(hashes), bool)
+    out[again[same]] = True
+    return out
+
+
 def contexts(docs: DataFrame, anchors: DataFrame, scheme: Scheme, bucket_of: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """Slices of text around the repeated anchors, without the windows that the task could settle; these come as spans (start << 32 | end, in tokens of the text)."""
     n = scheme.n
@@ -198,7 +220,7 @@ def contexts(docs: DataFrame, anchors: DataFrame, scheme: Scheme, bucket_of: Cal
         hashes = hashes[np.repeat(first_window - before, count) + np.arange(int(count.sum()))]
         row = np.repeat(np.arange(len(doc), dtype=np.int32), count)
         place = (np.arange(len(row)) - np.repeat(before, count)).astype(np.int32)
-        known = textkit.later(hashes)
+        known = _known(hashes, begin[row] + place, data, token_start, token_end, n)
         del hashes
         # Runs of windows of one anchor that are known, or not.
         new = np.ones(len(row), bool)
@@ -285,16 +307,18 @@ def contexts(docs: DataFrame, anchors: DataFrame, scheme: Scheme, bucket_of: Cal
     return joined.mapInArrow(run, CONTEXT)
 
 
-def refine(order: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def refine(order: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One step of a multikey sort: members of a group are split by their next key; singles are dropped.
 
     order: places, group by group. group: a number for each, ascending. key: each place's next key. Groups whose members
-    all agree stay as they are without sorting.
+    all agree stay as they are without sorting. Also returned: the group that each new group was part of, and which groups
+    were split.
     """
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
     size = np.diff(np.append(starts, len(group)))
     agrees = key == np.repeat(key[starts], size)
-    mixed = np.repeat(np.add.reduceat(~agrees, starts) > 0, size) if len(starts) else np.zeros(0, bool)
+    split = np.add.reduceat(~agrees, starts) > 0 if len(starts) else np.zeros(0, bool)
+    mixed = np.repeat(split, size)
     if mixed.any():
         at = np.flatnonzero(mixed)
         inner = np.lexsort((key[at], group[at]))
@@ -303,14 +327,16 @@ def refine(order: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.nd
     new = np.ones(len(group), bool)
     new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
     single = new & np.append(new[1:], True)
-    return order[~single], (np.cumsum(new) - 1)[~single]
+    left = np.cumsum(new & ~single) - 1
+    return order[~single], left[~single], np.repeat(np.arange(len(starts)), size)[new & ~single], split
 
 
-def repeats_of(rows: pa.Table, scheme: Scheme, key_at: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]], size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """(doc_id, span) of the windows in groups' contexts that also start earlier. rows: whole groups, sorted by group.
+#: (tokens as numbers, places) -> the places whose next n tokens another place has too, group by group, and their groups.
+Ties = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-    key_at(data or codes, starts) gives, one after the other, the keys by which windows at these starts are compared.
-    """
+
+def repeats_of(rows: pa.Table, scheme: Scheme, ties: Ties, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """(doc_id, span) of the windows in groups' contexts that also start earlier. rows: whole groups, sorted by group."""
     n = scheme.n
     leads = rows.column("lead").to_pylist()
     sizes = np.diff(textkit.text_bytes(rows.column("slice"))[1])
@@ -328,11 +354,7 @@ def repeats_of(rows: pa.Table, scheme: Scheme, key_at: Callable[[np.ndarray, np.
         row = np.repeat(np.arange(len(doc)), count)
         place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         starts = tokens.first[row] + place
-        order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-        for key in key_at(data if tokens.start is None else tokens.codes, starts):
-            order, group = refine(order, group, key[order])
-            if not len(order):
-                break
+        order, group = ties(data if tokens.start is None else textkit.numbered(data, tokens.start, tokens.end)[0], starts)
         if not len(order):
             continue
         position = lo[row[order]] + place[order]
@@ -358,7 +380,7 @@ def repeats_of(rows: pa.Table, scheme: Scheme, key_at: Callable[[np.ndarray, np.
         yield pa.RecordBatch.from_arrays([pa.array(doc[r[a]]), pa.array(_span(first, first + length + n - 1))], names=["doc_id", "span"])
 
 
-def grouped(scheme: Scheme, key_at: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def grouped(scheme: Scheme, ties: Ties) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function for ``mapInArrow`` over partitions that hold whole groups: settled spans pass, contexts are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +394,7 @@ def grouped(scheme: Scheme, key_at: Callable[[np.ndarray, np.ndarray], Iterator[
         if held:
             table = pa.Table.from_batches(held)
             held.clear()
-            yield from repeats_of(table.take(pa.compute.sort_indices(table, [("lead", "ascending")])), scheme, key_at)
+            yield from repeats_of(table.take(pa.compute.sort_indices(table, [("lead", "ascending")])), scheme, ties)
 
     return run
 

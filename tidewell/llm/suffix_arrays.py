@@ -1,7 +1,8 @@
 """Exact removal of repeated byte strings by sorted suffixes.
 
-The suffixes that matter (see ``anchors``) are range-partitioned by their leading bytes, between sampled splitters. A bucket sorts its suffixes by multikey quicksort with eight bytes as one character: groups that still tie are
-split by their next eight bytes. What ties on all ``LENGTH`` bytes is a repeated string. Splitters fall between different
+The suffixes that matter (see ``anchors``) are range-partitioned by their leading bytes, between sampled splitters; tasks hold
+consecutive ranges. A task sorts its suffixes by multikey quicksort with eight bytes as one character: groups that still tie
+are split by their next eight bytes. What ties on all ``LENGTH`` bytes is a repeated string. Splitters fall between different
 leading bytes, and equal strings have equal leading bytes, so no run of equal suffixes crosses a boundary.
 
 Defined results: a null text is empty; a text shorter than ``LENGTH`` bytes loses nothing. Of equal strings the one with
@@ -12,7 +13,6 @@ and get equal results. An empty table gives an empty result. Other columns are i
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +30,19 @@ LEAD = 32
 BUCKETS_A_TASK = 8
 
 
-def _eight_bytes(data: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+def tied(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes, in order, that tie with another on all ``LENGTH`` bytes, and the group of each, by multikey quicksort."""
     padded = np.zeros(len(data) + 8, np.uint64)
     padded[: len(data)] = data
     word = np.zeros(len(data), np.uint64)
     for k in range(8):
         word |= padded[k : k + len(data)] << np.uint64(56 - 8 * k)
+    order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
     for at in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
-        yield word[starts + at]
+        order, group, _, _ = anchors.refine(order, group, word[starts[order] + at])
+        if not len(order):
+            break
+    return order, group
 
 
 SCHEME = anchors.Scheme(LENGTH, LEAD, anchors.byte_tokens)
@@ -50,8 +55,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     count = BUCKETS_A_TASK * tasks
     splitters = np.array([leads[len(leads) * k // count] for k in range(1, count)] if leads else [], f"S{LEAD}")
     found = anchors.contexts(docs, anchors.repeated_anchors(docs, SCHEME), SCHEME, lambda some: np.searchsorted(splitters, np.array(some, splitters.dtype), "right"))
-    buckets = found.repartition(tasks, "bucket")
-    return buckets.mapInArrow(anchors.grouped(SCHEME, _eight_bytes), "doc_id long, span long")
+    # Neighbouring buckets go to one task, so tasks hold consecutive ranges of suffixes. Settled spans have any number for a bucket.
+    task = F.pmod(F.col("bucket"), F.lit(count)) * tasks / count
+    buckets = found.repartitionById(tasks, F.floor(task).cast("int"))
+    return buckets.mapInArrow(anchors.grouped(SCHEME, tied), "doc_id long, span long")
 
 
 def _runs(gone: np.ndarray, offs: np.ndarray) -> np.ndarray:

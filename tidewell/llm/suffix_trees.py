@@ -1,9 +1,10 @@
 """Exact removal of repeated word sequences by prefix-partitioned suffix trees.
 
 The suffixes that matter (see ``anchors``) are split into groups by prefixes of variable length: a group whose first word is
-too frequent for one task's memory is split by its second, and so on. Each group's suffix tree is built top down, level by
-level: the children of a node are its suffixes by their next word, and only nodes with several suffixes are built on. Nodes
-that are ``LENGTH`` words deep are the repeats.
+too frequent for one task's memory is split by its second, and so on. The suffix trees of a task's groups are built top down
+(``subtrees``): an edge goes on while its suffixes agree on their next word, an internal node stands where they part, and
+suffixes alone on an edge are leaves that nothing more is read of. What reaches a depth of ``LENGTH`` words with several
+suffixes below it is a repeat.
 
 Defined results: a null text, or one without words, has none and loses none; a text of fewer than ``LENGTH`` words loses
 nothing. Of equal sequences the one with the smallest (doc_id, start) stays; a null id counts as smallest. Rows that repeat
@@ -13,7 +14,7 @@ an id with its text are one document and get equal results. An empty table gives
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,44 @@ LEAD = 6
 GROUPS_A_TASK = 8
 
 
-def _next_words(codes: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
-    for depth in range(LENGTH):
-        yield codes[starts + depth]
+@dataclass(frozen=True)
+class SubTrees:
+    """The internal nodes of a task's subtrees, parents first, and the suffixes below those that are ``LENGTH`` words deep.
+
+    parent: a node's parent, -1 at the top. depth: words from the top; the edge to a node is labelled with the words from its
+    parent's depth to its own, of any suffix below it. A deep node stands for the repeat of all its ``deep`` suffixes, whose
+    ``below`` names the node that its edge comes from.
+    """
+
+    parent: np.ndarray
+    depth: np.ndarray
+    deep: np.ndarray
+    group: np.ndarray
+    below: np.ndarray
+
+
+def subtrees(words: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> SubTrees:
+    """Built top down and level by level: suffixes with one next word stay on one edge, a node stands where they part."""
+    order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    above = np.full(1, -1)
+    parents, depths, count = [], [], 0
+    for depth in range(length):
+        order, group, part_of, split = anchors.refine(order, group, words[starts[order] + depth])
+        nodes = np.flatnonzero(split)
+        parents.append(above[nodes])
+        depths.append(np.full(len(nodes), depth))
+        now = above.copy()
+        now[nodes] = count + np.arange(len(nodes))
+        count += len(nodes)
+        above = now[part_of]
+        if not len(order):
+            break
+    return SubTrees(np.concatenate(parents), np.concatenate(depths), order, group, above)
+
+
+def _deep(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    trees = subtrees(words, starts)
+    return trees.deep, trees.group
 
 
 SCHEME = anchors.Scheme(LENGTH, LEAD, anchors.word_tokens)
@@ -63,7 +99,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return prefix[np.arange(len(length)), length].view(np.int64)
 
     found = anchors.contexts(docs, anchors.repeated_anchors(docs, SCHEME), SCHEME, group_of)
-    return found.repartition(tasks, "bucket").mapInArrow(anchors.grouped(SCHEME, _next_words), "doc_id long, span long")
+    return found.repartition(tasks, "bucket").mapInArrow(anchors.grouped(SCHEME, _deep), "doc_id long, span long")
 
 
 def _digest(rows, data, offs, row, begin, end) -> pa.RecordBatch:
