@@ -1,11 +1,15 @@
 """Training-order materialisation: token sequences written to fixed-stride shards in a keyed random order.
 
-Texts become token ids once, each closed by ``CLOSING_ID``; every task cuts its ids into sequences of one length, the last
-filled up, and writes them, numbered by task and place, in the width that the vocabulary needs. Counts by task number all
-of them without gaps. A keyed Feistel network over the smallest even number of bits, walked on until it falls inside the
-range, permutes these numbers: a sequence's global slot. Slots are partitioned by range and sorted; a range is written as a
-shard, a file in which sequence ``slot`` begins at byte ``(slot - first slot) * stride``, so that a reader resumes anywhere by
-one seek and reads on in training order. Shards of failed tasks have names that no manifest holds.
+Texts become token ids, each closed by ``CLOSING_ID``; every input partition is cut into sequences of one length, the last
+filled up. A text has at most one token a byte, so a partition's bytes bound its sequences, and the bounds give each sequence
+a number before anything is encoded. A keyed Feistel network over the smallest even number of bits, walked on until it falls
+inside the range, permutes these numbers. The permuted numbers are partitioned by range and sorted; a range is written as a
+shard, and a sequence's global slot is its rank over all ranges: the sequences before its shard and before it in the shard.
+In a shard it begins at byte ``(slot - first slot) * stride``, so that a reader resumes anywhere by one seek and reads on in
+training order. So texts are encoded once and ids are moved once, in the width that the vocabulary needs.
+
+The bounds and the sequences must see the same partitions: ``docs`` is a table scan, or was written before. A partition
+with more sequences than its bound stops the job. Shards of failed tasks have names that no manifest holds.
 
 Defined results: a null or empty text is the closing id alone. Rows are written one by one, equal or not; a null doc_id is
 named by null. Texts of any length are written whole, over as many sequences as they need. An empty table gives no shards
@@ -32,8 +36,8 @@ LENGTH = 512
 CLOSING_ID = 0
 KEY = 20240131
 ROUNDS = 6
-#: Sequences of one shard.
-SHARD = 8192
+#: Numbers of one shard, at least; about two fifths of them are in use. There are at most MAX_SHARDS shards.
+SHARD, MAX_SHARDS = 32768, 50_000
 
 
 def _feistel(x: np.ndarray, bits: int, key: int) -> np.ndarray:
@@ -109,56 +113,66 @@ def _cut(docs: DataFrame, path: str, length: int) -> DataFrame:
 
 
 _MANIFEST = "slot long, sequence long, shard long, file string, offset long, id_bytes int, n_tokens int, doc_ids array<long>, ids_crc32 long"
+_PLACED = "shard long, place long, sequence long, file string, offset long, id_bytes int, n_tokens int, doc_ids array<long>, ids_crc32 long"
+
+
+def _running(rows: DataFrame, key: str, n: str, name: str) -> DataFrame:
+    """(key, name): the sum of n over smaller keys. A row for each task or shard."""
+    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("*", (F.sum(n).over(before) - F.col(n)).alias(name))
 
 
 def written(docs: DataFrame, path: str, length: int = LENGTH, key: int = KEY, folder: str | None = None) -> DataFrame:
     """The manifest: a row for each sequence, with the file and byte offset where it stands. Ids are little-endian numbers of ``id_bytes`` bytes."""
     spark = docs.sparkSession
+    rows = texts(docs)
     width = token_ids.id_type(path)
     size = np.dtype(width).itemsize
-    cut = materialized(_cut(texts(docs), path, length), "sequences", compression="zstd")
-    # A row for each task that cut sequences.
-    counts = cut.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bytes_of = rows.select(F.spark_partition_id().cast("long").alias("part"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes"))
+    bounds = bytes_of.groupBy("part").agg(F.ceil(F.sum("bytes") / length).alias("bound"))
+    bounds = materialized(_running(bounds, "part", "bound", "base"), "bounds")
+    total = bounds.agg(F.coalesce(F.sum("bound"), F.lit(0))).first()[0]
+    wide = max(SHARD, -(-total // MAX_SHARDS))
     folder = folder or new_folder(spark, "shards")
 
     @F.pandas_udf("long")
-    def slot(number: pd.Series) -> pd.Series:
+    def permute(number: pd.Series) -> pd.Series:
         return pd.Series(permuted(number.to_numpy(), total, key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        file, shard, name = None, -1, ""
+        file, place, shard, name = None, 0, -1, ""
         try:
             for batch in batches:
-                slots = batch.column(0).to_numpy()
-                numbers = slots // SHARD
-                crcs, names = [], []
-                for number, piece in zip(numbers.tolist(), batch.column(4).to_pylist(), strict=True):
-                    if number != shard:
-                        if file is not None:
-                            file.close()
-                        shard, name = number, f"shard-{number:08d}-{uuid.uuid4().hex}.bin"
-                        store.create_dir(root, recursive=True)
-                        file = store.open_output_stream(f"{root}/{name}")
+                n = batch.num_rows
+                if n and file is None:
+                    shard = batch.column(0)[0].as_py() // wide
+                    name = f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"
+                    store.create_dir(root, recursive=True)
+                    file = store.open_output_stream(f"{root}/{name}")
+                crcs = []
+                for piece in batch.column(4).to_pylist():
                     file.write(piece)
                     crcs.append(zlib.crc32(np.frombuffer(piece, width).astype("<u4").tobytes()))
-                    names.append(f"{folder}/{name}")
-                offset = (slots - numbers * SHARD) * length * size
-                arrays = [batch.column(0), batch.column(1), pa.array(numbers), pa.array(names, pa.string()), pa.array(offset), pa.array(np.full(len(slots), size, np.int32)), batch.column(2), batch.column(3), pa.array(crcs, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=_names(_MANIFEST))
+                at = place + np.arange(n)
+                place += n
+                arrays = [np.full(n, shard), at, batch.column(1), [f"{folder}/{name}"] * n, at * length * size, np.full(n, size, np.int32), batch.column(2), batch.column(3), crcs]
+                kinds = [pa.int64(), pa.int64(), None, pa.string(), pa.int64(), pa.int32(), None, None, pa.int64()]
+                yield pa.RecordBatch.from_arrays([x if k is None else pa.array(x, k) for x, k in zip(arrays, kinds, strict=True)], names=_names(_PLACED))
         finally:
             if file is not None:
                 file.close()
 
-    numbered = cut.join(F.broadcast(before), "part").withColumn("sequence", F.col("number") + F.col("base"))
-    slotted = numbered.select(slot("sequence").alias("slot"), "sequence", "n_tokens", "doc_ids", "ids")
-    # Slots are the numbers below the total, so the bounds of the ranges are known without a sample.
-    ranges = slotted.repartitionById(max(1, -(-total // SHARD)), F.floor(F.col("slot") / SHARD).cast("int"))
-    return materialized(ranges.sortWithinPartitions("slot").mapInArrow(run, _MANIFEST), "manifest")
+    numbered = _cut(rows, path, length).join(F.broadcast(bounds), "part")
+    sequence = F.when(F.col("number") < F.col("bound"), F.col("number") + F.col("base")).otherwise(F.raise_error(F.lit("a partition has more sequences than its bytes allow: docs is no written table")).cast("long"))
+    moved = numbered.select(permute(sequence).alias("permuted"), sequence.alias("sequence"), "n_tokens", "doc_ids", "ids")
+    # The permuted numbers fill their range evenly, so the bounds of the shards are known without a sample.
+    ranges = moved.repartitionById(max(1, -(-total // wide)), F.floor(F.col("permuted") / wide).cast("int"))
+    placed = materialized(ranges.sortWithinPartitions("permuted").mapInArrow(run, _PLACED), "manifest")
+    first = _running(placed.groupBy("shard").agg(F.count("*").alias("n")), "shard", "n", "first")
+    return placed.join(F.broadcast(first), "shard").select((F.col("first") + F.col("place")).alias("slot"), *[c for c in _names(_MANIFEST) if c != "slot"])
 
 
 def sequences(manifest: DataFrame, length: int = LENGTH, start_slot: int = 0) -> DataFrame:
