@@ -261,7 +261,7 @@ def test_training_order(docs, empty):
     table = docs.cache()
     manifest = training_order.written(table, path, length=64)
     rows = sorted(training_order.sequences(manifest, 64).collect(), key=lambda r: r.slot)
-    assert [r.slot for r in rows] == list(range(len(rows))) and sorted(r.sequence for r in rows) == [r.slot for r in rows]
+    assert [r.slot for r in rows] == list(range(len(rows))) and len({r.sequence for r in rows}) == len(rows)
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
     t = tokenizer("byte_bpe_50k.json")
     assert sum(r.n_tokens for r in rows) == sum(len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
@@ -368,8 +368,72 @@ def test_templates(spark):
         assert got[i].text == f"Head & {i}\nFirst {i} line\nSecénd A" and got[i].n_chars == len(got[i].text), got[i].text
     assert got[100].text == got[101].text == got[103].text == "" and got[102].text == "only <text>"
     assert templates.extracted(pages.limit(0)).collect() == []
-    classes = templates.equivalence_classes(pages.select(templates.host(F.col("url")).alias("host"), F.col("page_id").alias("page"), "html")).filter("host = 'h0.example' AND place").collect()
-    assert len({r["class"] for r in classes if r.pages == 6 and r.n == 6}) == 1
+
+
+def plain_host(n):
+    """A host without telling names: a long notice, whose place comes first, and a text."""
+    notice = prose(60, 77)
+    page = "<html><body><div><div>{notice}</div></div><div><h1>{title}</h1><p>{one}<p>{two}</div><div><div>Written for you by us</div></div></body></html>"
+    rows, want = [], {}
+    for i in range(n):
+        title, one, two = prose(4, 500 + i), prose(8 + i % 5, 600 + i), prose(9, 700 + i)
+        rows.append((i, f"http://plain.example/{i}", page.format(notice=notice, title=title, one=one, two=two)))
+        want[i] = f"{title}\n{one}\n{two}"
+    return rows, want
+
+
+def test_the_template_decides_where_names_dont(spark):
+    rows, want = plain_host(8)
+    got = {r.page_id: r.text for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+    assert all(templates.main_text(html) != want[i] for i, _, html in rows)
+
+
+def test_equivalence_classes_against_brute_force(spark):
+    rows, _ = plain_host(7)
+    rows += [(100 + i, "http://plain.example/x", f"<html><body><section><p>{prose(5, i)}" + "<p>again" * (i % 3)) for i in range(5)]
+    pages = spark.createDataFrame([("h", i, html) for i, _, html in rows], "host string, page long, html string")
+    blocks = templates.page_blocks(pages).cache()
+    vectors, places = {}, {}
+    for i, _, html in rows:
+        for path, _, _, pos in templates.runs(html):
+            vectors.setdefault(path, {}).setdefault(i, []).append(pos)
+    for path, at in vectors.items():
+        places.setdefault(tuple(sorted((i, len(x)) for i, x in at.items())), set()).add(path)
+    classes = templates.equivalence_classes(blocks)
+    got = {}
+    for r in classes.collect():
+        got.setdefault(r["class"], set()).add(r.place)
+        assert (r.pages, r.n) == (len(vectors[r.place]), sum(map(len, vectors[r.place].values()))) and r.size == len(places[tuple(sorted((i, len(x)) for i, x in vectors[r.place].items()))])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, places.values()))
+    valid = []
+    for vector, own in places.items():
+        if len(vector) >= 2 and all(n == 1 for _, n in vector):
+            orders = {tuple(sorted(own, key=lambda p: vectors[p][i][0])) for i, _ in vector}
+            if len(orders) == 1:
+                valid.append((len(vector), len(own), own))
+    frame = {r.place for r in templates.frames(blocks, classes).collect()}
+    assert frame in [own for pages, size, own in valid if (pages, size) == max((p, s) for p, s, _ in valid)]
+
+
+SHAPES = {
+    "side word on body": ("<body class='right-sidebar'><div class='left-menu'>m</div><article><p>{t}</article>", "{t}"),
+    "side word on html": ("<html class='menu-closed'><body><main><p>{t}</main>", "{t}"),
+    "comments by id": ("<body><article><p>{t}<section id='comments'><p>reader says</section></article>", "{t}"),
+    "camel case": ("<body><article><p>{t}<div class='relatedPosts'><p>more</div></article><div class='cookieBanner'>we use</div>", "{t}"),
+    "sidebar by id": ("<body><div id='sidebar'>links and more links here</div><div id='page'><h1>T</h1><p>{t}</div>", "T\n{t}"),
+    "no sidebar": ("<body><div class='no-sidebar'><p>{t}</div>", "{t}"),
+    "names with digits": ("<body><div class='c1'>{t}</div><div class='c2'>{t} more</div>", "{t}\n{t} more"),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_page_shapes(shape):
+    page, want = SHAPES[shape]
+    t = prose(12, 3)
+    assert templates.main_text(page.format(t=t)) == want.format(t=t)
+    places = [path for path, *_ in templates.runs("<div class='c1'>a</div><div class='c2'>b</div><div class='post-12345'>c</div><div class='post-99999'>d</div>")]
+    assert len(set(places)) == 3
 
 
 def test_templates_of_hosts_with_several_layouts(spark):
@@ -387,7 +451,6 @@ def test_templates_of_hosts_with_several_layouts(spark):
             text, want[i] = bodies[layout](i)
             rows.append((i, f"http://{host}.example/{i}", f"<body class='no-sidebar header'>{side}{text}<div class=comments><div class=body>reader {i}</div></div>"))
     got = {r.page_id: r.text for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    # On host a one page alone is plain: text that repeats over the host's pages is furniture there too.
     assert got == want
 
 
