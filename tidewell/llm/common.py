@@ -48,6 +48,15 @@ def texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def with_rest(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): the columns but the text travel along as one struct, so that no name clashes and no join brings them back."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest"))
+
+
+def without_rest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in columns])
+
+
 #: Slots of the filter of ids, a bitmap of 512 KB at most.
 SLOTS = 1 << 22
 

@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkit
-from .common import texts
+from .common import texts, with_rest, without_rest
 
 #: Words of one window of the repetition rule.
 WINDOW = 8
@@ -55,6 +56,7 @@ def mask(version: str) -> int:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The id and the measurements of each row, and its columns from the third on, before which the text stays if there are any."""
     for rows, data, offs in textkit.blocks(batches):
         words = textkit.Words(data, offs)
         n = rows.num_rows
@@ -91,16 +93,19 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         np.bincount(line_row, minlength=n).astype(np.int64),
                     ),
                 ),
+                *rows.columns[1 if rows.num_columns > 2 else 2 :],
             ],
-            names=["doc_id", *MEASURES],
+            names=["doc_id", *MEASURES, *rows.schema.names[1 if rows.num_columns > 2 else 2 :]],
         )
 
 
+_LEDGER = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
+_FAILED = " + ".join(f"CASE WHEN {rule} THEN {BITS[name]}L ELSE 0L END" for name, rule in RULES.items())
+
+
 def ledger(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the measurements, and ``failed``: a bit for each rule that the text fails."""
-    measured = texts(docs, id_column, text).mapInArrow(_measure, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
-    failed = " + ".join(f"CASE WHEN {rule} THEN {BITS[name]}L ELSE 0L END" for name, rule in RULES.items())
-    return measured.withColumn("failed", F.expr(failed))
+    return texts(docs, id_column, text).mapInArrow(_measure, _LEDGER).withColumn("failed", F.expr(_FAILED))
 
 
 def apply_policy(rows: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -121,7 +126,8 @@ def ablation(rows: DataFrame, version: str = CURRENT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` whose text passes the policy. Ids are unique in a corpus; rows of one id share one verdict."""
-    columns = docs.columns
-    verdict = apply_policy(ledger(docs), version).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(verdict, docs["doc_id"].cast("long").eqNullSafe(verdict["__kept_id"]), "left_semi").select(*columns)
+    """The rows of ``docs`` whose text passes the policy, judged in one pass, with nothing shuffled."""
+    rows = with_rest(docs)
+    schema = StructType([*StructType.fromDDL(_LEDGER).fields, rows.schema["text"], rows.schema["rest"]])
+    judged = apply_policy(rows.mapInArrow(_measure, schema).withColumn("failed", F.expr(_FAILED)), version)
+    return without_rest(judged.filter("kept"), docs.columns)

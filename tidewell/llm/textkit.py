@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text that one block holds (a longer row is a block of its own).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 U64 = np.uint64
 _WHITE = np.zeros(256, bool)
@@ -74,12 +74,18 @@ def windows_hash(sums: np.ndarray, n: int) -> np.ndarray:
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all rows, and the offsets of the rows in them. Null counts as empty."""
+    """UTF-8 bytes of all rows, and the offsets of the rows in them, without a copy where there is none to make. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    _, offsets, data = column.buffers()
-    offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    for again in (False, True):
+        _, offsets, data = column.buffers()
+        offs = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        if again or not column.null_count or not np.diff(offs)[column.is_null().to_numpy(zero_copy_only=False)].any():
+            break
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offs[0] : offs[-1]], offs - offs[0]
 
@@ -93,6 +99,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
             yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
+    # A worker goes on to other tasks: it gives back what this one held.
+    pa.default_memory_pool().release_unused()
 
 
 def _differ(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:

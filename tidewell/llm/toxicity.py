@@ -24,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkit
-from .common import in_slots, materialized, new_folder, partitions, texts
+from .common import in_slots, materialized, new_folder, partitions, texts, with_rest, without_rest
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -237,22 +238,25 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w / scale
 
 
-def _evidence(rows: DataFrame, scorer, more: str = "") -> DataFrame:
-    """doc_id, evidence, strong, n_words and the columns from the third on."""
+_EVIDENCE = "doc_id long, evidence double, strong double, n_words long"
+
+
+def _evidence(rows: DataFrame, scorer, first: int = 2) -> DataFrame:
+    """doc_id, evidence, strong, n_words and the columns of ``rows`` (doc_id, text, ...) from number ``first`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in textkit.blocks(batches):
             n = np.diff(textkit.Words(data, offs).first)
-            arrays = [part.column(0), *map(pa.array, scorer.evidence(data, offs)), pa.array(n), *part.columns[2:]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "evidence", "strong", "n_words", *part.schema.names[2:]])
+            arrays = [part.column(0), *map(pa.array, scorer.evidence(data, offs)), pa.array(n), *part.columns[first:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "evidence", "strong", "n_words", *part.schema.names[first:]])
         # Workers are used again by other operators.
         _KEPT.clear()
 
-    return rows.mapInArrow(run, "doc_id long, evidence double, strong double, n_words long" + more)
+    return rows.mapInArrow(run, StructType([*StructType.fromDDL(_EVIDENCE).fields, *rows.schema.fields[first:]]))
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row a row of ``docs``. Labels of held-out rows (crc32 of the id mod 4 = 2) are never read."""
+def _fitted(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, Column]:
+    """The scorer, and the score of evidence. Labels of held-out rows (crc32 of the id mod 4 = 2) are never read."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold() != 2)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = texts(docs).filter(fold() != 2).filter(in_slots(marks)).join(marks, "doc_id").select("doc_id", "text", "toxic")
@@ -260,17 +264,21 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     calibrates = (fold() == 3) & (F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
     scorer = written(fit_model(labelled.filter(~calibrates)))
     sample = labelled.filter(calibrates).filter("length(text) > 0")
-    held = _evidence(sample, scorer, ", toxic int").select("evidence", "strong", "toxic").toArrow()
+    held = _evidence(sample, scorer).select("evidence", "strong", "toxic").toArrow()
     x, y = np.column_stack([held.column(c).to_numpy() for c in ("evidence", "strong")]), held.column("toxic").to_numpy().astype(float)
     weights = _curve(x, y) if 0 < y.sum() < len(y) else [0.0, 0.0, -30.0]
     linear = F.col("evidence") * float(weights[0]) + F.col("strong") * float(weights[1]) + float(weights[2])
-    score = F.when(F.col("n_words") > 0, 1 / (1 + F.exp(-linear))).otherwise(0.0)
+    return scorer, F.when(F.col("n_words") > 0, 1 / (1 + F.exp(-linear))).otherwise(0.0)
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted: one row a row of ``docs``."""
+    scorer, score = _fitted(docs, labels)
     out = _evidence(texts(docs), scorer).withColumn("score", score)
     return out.select("doc_id", (fold() == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence", "strong")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is not predicted toxic."""
-    columns = docs.columns
-    bad = scored(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad_id"]), "left_anti").select(*columns)
+    """The rows of ``docs`` whose text is not predicted toxic, scored in one pass that carries them along."""
+    scorer, score = _fitted(docs, labels)
+    return without_rest(_evidence(with_rest(docs), scorer, 1).filter(score < THRESHOLD), docs.columns)
