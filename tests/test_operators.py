@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import asof, indicators, quality, sampling, signals
+from tidewell.operators import asof, indicators, oscillators, quality, sampling, signals
 
 D = dt.date(2020, 1, 1)
 
@@ -26,7 +26,7 @@ WAVE = [100 + (i * 37 % 23) - (i * 11 % 7) * 1.5 for i in range(90)]
         lambda d: d.withColumn("x", indicators.rolling_pct_rank(30, 10)),
         lambda d: indicators.rsi(d).withColumn("x", F.col("rsi")),
         lambda d: indicators.path_efficiency(d, 10).withColumn("x", F.col("efficiency")),
-        lambda d: indicators.ema(d, 12).withColumn("x", F.col("ema")),
+        lambda d: oscillators.ema(d, 12).withColumn("x", F.col("ema")),
     ],
 )
 def test_future_rows_change_nothing(spark, f):

@@ -56,3 +56,25 @@ def normal_cdf(x: Column) -> Column:
 
 def freshness_scale(age: Column, grace: int, days: int, floor: float) -> Column:
     return F.when(age <= grace, 1.0).otherwise(F.greatest(F.lit(floor), 1 - (age - grace) / days))
+
+
+def business_days_between(a: Column, b: Column) -> Column:
+    """Weekdays strictly between two dates: full weeks, and what is left of one."""
+    first = F.date_add(a, 1)
+    n = F.greatest(F.datediff(b, first), F.lit(0))
+    rest, day = n % 7, F.weekday(first)
+    # Of the rest, which begins on that weekday (Monday is 0), the days that fall on a weekend don't count.
+    off = F.greatest(F.least(day + rest, F.lit(7)) - F.greatest(day, F.lit(5)), F.lit(0)) + F.greatest(day + rest - 12, F.lit(0))
+    return (F.floor(n / 7) * 5 + rest - off).cast("int")
+
+
+#: Report codes with the date on which they are available, and in which year.
+FILINGS = (("Q1", "05-15", 0), ("H1", "08-14", 0), ("Q3", "11-14", 0), ("FY", "03-31", 1))
+
+
+def filing_calendar(years, as_of: str):
+    """(year, code, available): the reports of the years that are available by a date."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.lit(d).alias("d"), F.lit(y).alias("y")) for c, d, y in FILINGS]))
+    rows = years.withColumn("e", each)
+    available = F.to_date(F.concat_ws("-", (F.col("year") + F.col("e.y")).cast("string"), F.col("e.d")))
+    return rows.select("year", "e.code", available.alias("available")).filter(F.col("available") <= F.lit(as_of).cast("date"))

@@ -112,9 +112,9 @@ def interpolate_time(df: DataFrame, targets: DataFrame, carry: bool = False) ->
     """Values at the targets' dates, linear in time between the observations around them; none outside, or the last one carried. Looks ahead by nature: never a feature."""
     obs = F.when(F.col("v").isNotNull(), F.struct("t", "v"))
     rows = df.select("k", "t", "v", F.lit(False).alias("wanted")).unionByName(targets.select("k", "t", F.lit(None).cast("double").alias("v"), F.lit(True).alias("wanted")))
-    w = Window.partitionBy("k").orderBy("t")
-    before = F.last(obs, True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(obs, True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # Both frames grow row by row from their end, so a series costs as many steps as it has rows.
+    before = F.last(obs, True).over(Window.partitionBy("k").orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.last(obs, True).over(Window.partitionBy("k").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("a", before).withColumn("b", after).filter("wanted")
     days = F.datediff("b.t", "a.t")
     value = F.when(F.col("a.t") == F.col("b.t"), F.col("a.v")).otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * F.datediff("t", "a.t") / days)
@@ -192,17 +192,7 @@ def downsample_minmax(df: DataFrame, budget: int) -> DataFrame:
     return rows.filter("lo = 1 OR hi = 1 OR rn = 0 OR rn = n - 1").select("k", "t", "v")
 
 
-def ema(df: DataFrame, n: int, log: bool = False) -> DataFrame:
-    """Recursive average by key, begun with the first value. One series is one group: thirty years of days are 7,500 rows."""
-    a = 2 / (n + 1)
-    x = F.ln("v") if log else F.col("v")
-    rows = df.filter("v IS NOT NULL").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("t", x.alias("x")))).alias("s"))
-    start = F.array(F.struct(F.col("s")[0]["t"].alias("t"), F.col("s")[0]["x"].alias("e")))
-    fold = F.aggregate(F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0))), start, lambda acc, p: F.concat(acc, F.array(F.struct(p["t"].alias("t"), (p["x"] * a + F.element_at(acc, -1)["e"] * (1 - a)).alias("e")))))
-    return rows.select("k", F.explode(fold).alias("p")).select("k", "p.t", F.col("p.e").alias("ema"))
-
-
-def forward_outcomes(df: DataFrame, horizons: tuple[int, ...] = (5, 10, 20), excursion: int = 20) -> DataFrame:
+def forward_outcomes(df: DataFrame, horizons: tuple[int, ...] = (5, 10, 20, 63), excursion: int = 20) -> DataFrame:
     """Returns some rows ahead, and the best and worst on the way. Labels: they look ahead."""
     w = by_time().rowsBetween(1, excursion)
     out = [(F.lead("v", h).over(by_time()) / F.col("v") - 1).alias(f"return{h}") for h in horizons]

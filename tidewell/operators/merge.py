@@ -110,9 +110,14 @@ def union_dates(*frames: DataFrame) -> DataFrame:
 
 
 def new_signal_rows(candidate: DataFrame, base: DataFrame, days: int = 5) -> DataFrame:
-    """Signals (k, side, t) of the candidate without one of the base's within some days, of the same series and side."""
-    b = base.select(F.col("k").alias("bk"), F.col("side").alias("bs"), F.col("t").alias("bt"))
-    return candidate.join(b, (candidate["k"] == b["bk"]) & (candidate["side"] == b["bs"]) & (F.abs(F.datediff(candidate["t"], b["bt"])) <= days), "left_anti")
+    """Signals (k, side, t) of the candidate without one of the base's within some days, of the same series and side: the base's nearest before and after tell."""
+    rows = candidate.select("k", "side", "t", F.lit(False).alias("known")).unionByName(base.select("k", "side", "t", F.lit(True).alias("known")))
+    there = F.when(F.col("known"), F.col("t"))
+    w = Window.partitionBy("k", "side")
+    before = F.last(there, True).over(w.orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.last(there, True).over(w.orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0))
+    near = F.coalesce(F.datediff("t", "before") <= days, F.lit(False)) | F.coalesce(F.datediff("after", "t") <= days, F.lit(False))
+    return rows.withColumn("before", before).withColumn("after", after).filter(~F.col("known") & ~near).select("k", "side", "t")
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str = "k") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +11,20 @@ def by_time():
     return Window.partitionBy("k").orderBy("t")
 
 
-def classify_regime(trend: str, vol: str, drawdown: str) -> Column:
-    """Ladder of regimes; a missing operand fails its step."""
+def classify_regime() -> Column:
+    """Ladder of market regimes over the columns adr_min, fear_min, crisis, vkospi_pct, vix_pct, drawdown60, macd_slope, leading_change, change20, news.
+
+    Two signs of stress are stress. A missing operand counts as each step says: no drawdown, no change of the leading index, and
+    for the others a value that fails the step.
+    """
     c = lambda x, d: F.coalesce(F.col(x), F.lit(d))
+    signs = [F.col("adr_min") <= 80, F.col("fear_min") <= 25, F.col("crisis") >= 50, F.col("vkospi_pct") >= 0.8, F.col("vix_pct") >= 0.8]
+    low, high = float("-inf"), float("inf")
     return (
-        F.when((c(drawdown, 0.0) <= -0.2) & (c(vol, 0.0) >= 0.03), "stress")
-        .when((c(drawdown, 0.0) <= -0.1) & (c(trend, float("-inf")) > 0.02), "recovery")
-        .when(c(trend, 0.0) < -0.03, "slowdown")
-        .when(c(trend, float("-inf")) > 0.03, "expansion")
+        F.when(sum(F.coalesce(x.cast("int"), F.lit(0)) for x in signs) >= 2, "stress")
+        .when((c("drawdown60", 0.0) <= -10) & (c("macd_slope", low) > 0) & ((c("adr_min", high) <= 85) | (c("fear_min", high) <= 35)), "recovery")
+        .when((c("leading_change", 0.0) < -0.05) & (c("change20", low) >= 0), "slowdown")
+        .when((c("change20", low) >= 3) & ((c("leading_change", 0.0) >= 0) | (c("news", low) >= 100)), "expansion")
         .otherwise("range")
     )
 
@@ -30,30 +37,36 @@ def signal_runs(df: DataFrame) -> DataFrame:
 
 
 def collapse_episodes(df: DataFrame, rows: int = 10) -> DataFrame:
-    """Signals (k, side, t, i) merged while within some rows of the episode's first one, which doesn't slide. One series' signals are folded."""
-    grouped = df.groupBy("k", "side").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("s"))
-    empty = F.array().cast("array<struct<i:int,t:date,n:int>>")
+    """Signals (k, side, t, i) merged while within some rows of the episode's first one, which doesn't slide. One side of a series is read once, in order."""
 
-    def step(acc, p):
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (p["i"] - F.try_element_at(acc, F.lit(-1))["i"] <= rows)
-        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        grown = F.concat(head, F.array(F.struct(F.try_element_at(acc, F.lit(-1))["i"].alias("i"), F.try_element_at(acc, F.lit(-1))["t"].alias("t"), (F.try_element_at(acc, F.lit(-1))["n"] + 1).alias("n"))))
-        return F.when(same, grown).otherwise(F.concat(acc, F.array(F.struct(p["i"].cast("int").alias("i"), p["t"].alias("t"), F.lit(1).alias("n")))))
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("i")
+        heads, counts, first = [], [], None
+        for n, i in enumerate(group["i"].tolist()):
+            if first is None or i - first > rows:
+                first = i
+                heads.append(n)
+                counts.append(0)
+            counts[-1] += 1
+        return group.iloc[heads][["k", "side", "t"]].assign(n=counts)
 
-    folded = grouped.select("k", "side", F.explode(F.aggregate("s", empty, step)).alias("e"))
-    return folded.select("k", "side", F.col("e.t").alias("t"), F.col("e.n").alias("n"))
+    kinds = dict(df.dtypes)
+    return df.select("k", "side", "t", "i").groupBy("k", "side").applyInPandas(fold, f"k {kinds['k']}, side string, t date, n int")
 
 
 def calibrate_signals(df: DataFrame, horizon: int = 20, least: int = 4, last: int = 24) -> DataFrame:
-    """Each signal (k, side, i, ret) with the smoothed hit rate of the series' latest signals of its side that had matured strictly before it."""
-    prior = df.filter("ret IS NOT NULL").select(F.col("k").alias("pk"), F.col("side").alias("ps"), F.col("i").alias("pi"), F.col("ret").alias("pr"))
-    hit = F.when(F.col("side") == "buy", F.col("pr") > 0).otherwise(F.col("pr") < 0).cast("int")
-    rows = df.join(prior, (df["k"] == prior["pk"]) & (df["side"] == prior["ps"]) & (prior["pi"] + horizon < df["i"]), "left")
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("k", "side", "i").orderBy(F.desc("pi")))).filter(F.col("rn") <= last)
-    out = rows.groupBy("k", "side", "i").agg(F.count("pi").alias("n"), F.sum(hit).alias("hits"))
-    rate = (F.coalesce("hits", F.lit(0)) + 2) / (F.col("n") + 4)
-    return out.select("k", "side", "i", "n", F.when(F.col("n") >= least, rate).alias("hit_rate"))
+    """Each signal (k, side, i, ret) with the smoothed hit rate of the series' latest signals of its side that had matured strictly before it.
+
+    Hits are counted up once; a signal's are those at its last matured signal less those ``last`` earlier.
+    """
+    hit = F.when(F.col("side") == "buy", F.col("ret") > 0).otherwise(F.col("ret") < 0).cast("int")
+    side = Window.partitionBy("k", "side").orderBy("i")
+    matured = side.rangeBetween(Window.unboundedPreceding, -horizon - 1)
+    rows = df.withColumn("n", F.count("ret").over(matured)).withColumn("hits", F.coalesce(F.sum(F.when(F.col("ret").isNotNull(), hit)).over(matured), F.lit(0)))
+    known = df.filter("ret IS NOT NULL").select("k", "side", F.row_number().over(side).alias("rank"), F.sum(hit).over(side.rowsBetween(Window.unboundedPreceding, 0)).alias("earlier"))
+    out = rows.withColumn("rank", F.col("n") - last).join(known, ["k", "side", "rank"], "left")
+    hits, n = F.col("hits") - F.coalesce("earlier", F.lit(0)), F.least("n", F.lit(last))
+    return out.select("k", "side", "i", n.alias("n"), F.when(n >= least, (hits + 2) / (n + 4)).alias("hit_rate"))
 
 
 def regime_probabilities(scores: dict[str, Column]) -> tuple[Column, Column]:

@@ -22,6 +22,8 @@ def with_panels(*names: str, sql: str) -> str:
     needed = [n for n in PANELS if n in names or (n == "price" and {"benchmark", "dirty"} & set(names))]
     more = sql.lstrip()
     parts = ",\n".join(PANELS[n] for n in needed)
+    if more[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {parts},\n{more[15:]}"
     if more[:5].upper() == "WITH ":
         return f"WITH {parts},\n{more[5:]}"
     return f"WITH {parts}\n{more}"

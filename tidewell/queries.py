@@ -161,15 +161,22 @@ def signals(s, d):
     return P.price(s, d).withColumn("side", F.when(c > 0.05, "buy").when(c < -0.05, "sell")).withColumn("i", F.row_number().over(W.by_time()))
 
 
+ORDER_SIGNALS = "order_signals AS (SELECT k, t, CASE WHEN v / nullif(lag(v, 5) OVER w, 0) - 1 > 0.05 THEN 'buy' WHEN v / nullif(lag(v, 5) OVER w, 0) - 1 < -0.05 THEN 'sell' END AS side FROM orders_panel WINDOW w AS (PARTITION BY k ORDER BY t))"
+
+
+def order_signals(s, d):
+    c = F.col("v") / F.nullif(F.lag("v", 5).over(W.by_time()), F.lit(0.0)) - 1
+    return P.orders_panel(s, d).select("k", "t", F.when(c > 0.05, "buy").when(c < -0.05, "sell").alias("side"))
+
+
 @query(
     "u16_new_signal_rows",
-    f"""WITH {SIGNALS}, c AS (SELECT k, side, t FROM signals WHERE side IS NOT NULL AND i % 7 = 0), b AS (SELECT k, side, t FROM signals WHERE side IS NOT NULL AND i % 11 = 0)
-    SELECT k, side, t FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = c.k AND b.side = c.side AND abs(datediff('day', b.t, c.t)) <= 5)""",
-    ("price",),
+    f"""WITH {SIGNALS}, {ORDER_SIGNALS}, c AS (SELECT k, side, t FROM signals WHERE side IS NOT NULL), b AS (SELECT k, side, t FROM order_signals WHERE side IS NOT NULL)
+    SELECT k, side, t FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = c.k AND b.side = c.side AND abs(datediff('day', b.t, c.t)) <= 2)""",
+    ("price", "orders_panel"),
 )
 def _(s, d):
-    rows = signals(s, d).filter("side IS NOT NULL")
-    return U.new_signal_rows(rows.filter("i % 7 = 0").select("k", "side", "t"), rows.filter("i % 11 = 0").select("k", "side", "t"))
+    return U.new_signal_rows(signals(s, d).filter("side IS NOT NULL"), order_signals(s, d).filter("side IS NOT NULL"), 2)
 
 
 @query("u17_overlap", "SELECT k FROM price WHERE market = 0 INTERSECT SELECT k FROM orders_panel", ("price", "orders_panel"))
@@ -661,9 +668,9 @@ def _(s, d):
     return W.claims_signal(P.price(s, d)).select("k", "t", "m", "rise")
 
 
-@query("w27_forward_outcomes", f"SELECT k, t, {r6('lead(v, 5) OVER w / v - 1 AS return5', 'lead(v, 20) OVER w / v - 1 AS return20', 'MAX(v) OVER x / v - 1 AS favorable', 'MIN(v) OVER x / v - 1 AS adverse')}, COUNT(v) OVER x AS path FROM price WINDOW w AS (PARTITION BY k ORDER BY t), x AS (PARTITION BY k ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)", ("price",))
+@query("w27_forward_outcomes", f"SELECT k, t, {r6('lead(v, 5) OVER w / v - 1 AS return5', 'lead(v, 10) OVER w / v - 1 AS return10', 'lead(v, 20) OVER w / v - 1 AS return20', 'lead(v, 63) OVER w / v - 1 AS return63', 'MAX(v) OVER x / v - 1 AS favorable', 'MIN(v) OVER x / v - 1 AS adverse')}, COUNT(v) OVER x AS path FROM price WINDOW w AS (PARTITION BY k ORDER BY t), x AS (PARTITION BY k ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)", ("price",))
 def _(s, d):
-    return W.forward_outcomes(P.price(s, d)).select("k", "t", "return5", "return20", "favorable", "adverse", "path")
+    return W.forward_outcomes(P.price(s, d)).select("k", "t", "return5", "return10", "return20", "return63", "favorable", "adverse", "path")
 
 
 @query(
@@ -734,11 +741,6 @@ def _(s, d):
     return M.threshold_segments(P.price(s, d), 1000.0)
 
 
-@query("w19_ema")
-def _(s, d):
-    return W.ema(P.macro(s, d).withColumn("k", F.lit(0)), 12, log=True)
-
-
 # ---- quality
 
 
@@ -935,25 +937,13 @@ def _(s, d):
 
 @query(
     "m8_calibrate_signals",
-    f"""WITH {RETURNS}, g AS (SELECT k, side, i, ret FROM returns WHERE side IS NOT NULL AND i % 5 = 0), j AS (SELECT g.k, g.side, g.i, p.i AS pi, CASE WHEN g.side = 'buy' THEN p.ret > 0 ELSE p.ret < 0 END AS hit FROM g LEFT JOIN (SELECT * FROM g WHERE ret IS NOT NULL) p ON p.k = g.k AND p.side = g.side AND p.i + 20 < g.i),
+    f"""WITH {RETURNS}, g AS (SELECT k, side, i, ret FROM returns WHERE side IS NOT NULL), j AS (SELECT g.k, g.side, g.i, p.i AS pi, CASE WHEN g.side = 'buy' THEN p.ret > 0 ELSE p.ret < 0 END AS hit FROM g LEFT JOIN (SELECT * FROM g WHERE ret IS NOT NULL) p ON p.k = g.k AND p.side = g.side AND p.i + 20 < g.i),
     t AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY k, side, i ORDER BY pi DESC NULLS LAST) <= 24), o AS (SELECT k, side, i, COUNT(pi) AS n, coalesce(SUM(CASE WHEN pi IS NOT NULL AND hit THEN 1 ELSE 0 END), 0) AS h FROM t GROUP BY 1, 2, 3)
     SELECT k, side, i, n, {r6('CASE WHEN n >= 4 THEN (h + 2) / (n + 4) END AS hit_rate')} FROM o""",
     ("price",),
 )
 def _(s, d):
-    return M.calibrate_signals(returns(s, d).filter("side IS NOT NULL AND i % 5 = 0").select("k", "side", "i", "ret"))
-
-
-@query(
-    "m3_classify_regime",
-    f"""WITH x AS (SELECT k, t, AVG(v) OVER a / nullif(AVG(v) OVER b, 0) - 1 AS trend, stddev_samp(v) OVER a / v AS vol, v / MAX(v) OVER b - 1 AS dd FROM price WINDOW a AS (PARTITION BY k ORDER BY t ROWS 19 PRECEDING), b AS (PARTITION BY k ORDER BY t ROWS 59 PRECEDING)),
-    c AS (SELECT k, CASE WHEN coalesce(dd, 0) <= -0.2 AND coalesce(vol, 0) >= 0.03 THEN 'stress' WHEN coalesce(dd, 0) <= -0.1 AND trend > 0.02 THEN 'recovery' WHEN coalesce(trend, 0) < -0.03 THEN 'slowdown' WHEN trend > 0.03 THEN 'expansion' ELSE 'range' END AS regime FROM x) SELECT k, regime, COUNT(*) AS n FROM c GROUP BY 1, 2""",
-    ("price",),
-)
-def _(s, d):
-    a, b = W.trailing(20), W.trailing(60)
-    rows = P.price(s, d).select("k", (F.avg("v").over(a) / F.nullif(F.avg("v").over(b), F.lit(0.0)) - 1).alias("trend"), (F.stddev("v").over(a) / F.col("v")).alias("vol"), (F.col("v") / F.max("v").over(b) - 1).alias("dd"))
-    return rows.select("k", M.classify_regime("trend", "vol", "dd").alias("regime")).groupBy("k", "regime").agg(F.count("*").alias("n"))
+    return M.calibrate_signals(returns(s, d).filter("side IS NOT NULL").select("k", "side", "i", "ret"))
 
 
 @query(
@@ -1157,3 +1147,6 @@ def _(s, d):
 @query("w33_envelope", f"SELECT t, {r6('MIN(v) AS low', 'MAX(v) AS high')}, COUNT(v) AS n FROM dirty GROUP BY 1", ("dirty",))
 def _(s, d):
     return A.envelope(U_dirty(s, d))
+
+
+from . import queries_panels, queries_reports  # noqa: E402, F401
