@@ -33,7 +33,7 @@ U64 = np.uint64
 #: Stands for a null id inside the operators; as the smallest id, such a row comes first.
 NO_ID = -(1 << 63)
 #: Windows that a task settles among themselves at a time.
-HELD_WINDOWS = 2_000_000
+HELD_WINDOWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -113,6 +113,7 @@ def repeated_anchors(docs: DataFrame, scheme: Scheme) -> DataFrame:
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
+        textkit.release()
         for batch in batches:
             kind = batch.column(3).to_numpy(zero_copy_only=False)
             if (kind == 2).any():
@@ -385,6 +386,7 @@ def grouped(scheme: Scheme, ties: Ties) -> Callable[[Iterator[pa.RecordBatch]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
+        textkit.release()
         for batch in batches:
             open_ = batch.column(4).to_numpy(zero_copy_only=False) > 0
             if not open_.all():

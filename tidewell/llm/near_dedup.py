@@ -166,6 +166,7 @@ SEVERAL, PAIR = 16, 32
 
 def _own_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a task's documents: one row for each bucket, and the pairs of its other members with its hub."""
+    textkit.release()
     for whole in batches:
         for at in range(0, whole.num_rows, 2048):
             batch = whole.slice(at, 2048)
@@ -193,6 +194,7 @@ ALONE, OWN, TOP = 0, 1, 2
 def _all_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the rows of whole keys: pairs (a, b) with the buckets' hubs, and the pairs that tasks found before."""
     held = []
+    textkit.release()
     for batch in batches:
         mark = batch.column(2).to_numpy(zero_copy_only=False)
         found = mark >= PAIR
@@ -226,6 +228,7 @@ def confirm(pairs: DataFrame, held: DataFrame, n: int, percent: int) -> DataFram
     """The pairs (a, b) whose full sets are alike enough: 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textkit.release()
         for whole in batches:
             size = np.append(0, np.cumsum(np.diff(textkit.text_bytes(whole.column(2))[1])))
             at = 0

@@ -8,12 +8,16 @@ retries agree on them; they collide on texts that are made to, so they only prop
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
+#: Of the C library, where it has this.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Bytes of text that one block holds (a longer row is a block of its own).
 BLOCK_BYTES = 1 << 19
 
@@ -73,6 +77,13 @@ def windows_hash(sums: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:count]) * powers(len(sums))[1][:count])
 
 
+def release() -> None:
+    """Give back to the system what earlier blocks and tasks of this worker held: workers live on, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows, and the offsets of the rows in them, without a copy where there is none to make. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -92,6 +103,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of consecutive rows whose text has about ``size`` bytes together."""
+    release()
     for batch in batches:
         data, offs = text_bytes(batch.column(batch.schema.get_field_index(text)))
         at = 0
@@ -99,8 +111,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
             yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
-    # A worker goes on to other tasks: it gives back what this one held.
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def _differ(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
