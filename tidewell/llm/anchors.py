@@ -33,7 +33,7 @@ U64 = np.uint64
 #: Stands for a null id inside the operators; as the smallest id, such a row comes first.
 NO_ID = -(1 << 63)
 #: Windows that a task settles among themselves at a time.
-HELD_WINDOWS = 1_000_000
+HELD_WINDOWS = 500_000
 
 
 @dataclass(frozen=True)

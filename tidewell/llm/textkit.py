@@ -19,7 +19,7 @@ import xxhash
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 #: Bytes of text that one block holds (a longer row is a block of its own).
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 
 U64 = np.uint64
 _WHITE = np.zeros(256, bool)
