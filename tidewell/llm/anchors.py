@@ -260,8 +260,11 @@ def contexts(docs: DataFrame, anchors: DataFrame, scheme: Scheme, bucket_of: Cal
 
         def flush() -> Iterator[pa.RecordBatch]:
             if parts:
-                yield from settle([np.concatenate(x) for x in zip(*parts, strict=True)])
+                held = [np.concatenate(x) for x in zip(*parts, strict=True)]
                 parts.clear()
+                yield from settle(held)
+                held.clear()
+                textkit.release()
 
         for rows, data, offs in textkit.blocks(batches):
             tokens = scheme.tokens(data, offs)
@@ -336,11 +339,11 @@ def refine(order: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.nd
 Ties = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def repeats_of(rows: pa.Table, scheme: Scheme, ties: Ties, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def repeats_of(rows: pa.Table, scheme: Scheme, ties: Ties, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """(doc_id, span) of the windows in groups' contexts that also start earlier. rows: whole groups, sorted by group."""
     n = scheme.n
     leads = rows.column("lead").to_pylist()
-    sizes = np.diff(textkit.text_bytes(rows.column("slice"))[1])
+    sizes = pa.compute.binary_length(rows.column("slice")).fill_null(0).to_numpy()
     total = np.append(0, np.cumsum(sizes))
     at = 0
     while at < rows.num_rows:
@@ -396,7 +399,8 @@ def grouped(scheme: Scheme, ties: Ties) -> Callable[[Iterator[pa.RecordBatch]],
         if held:
             table = pa.Table.from_batches(held)
             held.clear()
-            yield from repeats_of(table.take(pa.compute.sort_indices(table, [("lead", "ascending")])), scheme, ties)
+            table = table.take(pa.compute.sort_indices(table, [("lead", "ascending")]))
+            yield from repeats_of(table, scheme, ties)
 
     return run
 
