@@ -14,20 +14,33 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from . import textkit
+
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: Runs of white space that only ``tokenizers`` reads.
 _WIDE = regex.compile(r"\s{20000}")
 
 
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 class TextEncoder:
-    """Ids of the rows of a block."""
+    """Ids of the rows of a block. ``tokenizers`` is loaded only for texts that ``fast`` can't take: workers live on, and the vocabulary with them."""
 
-    def __init__(self, whole, fast=None, added: tuple[str, ...] = ()):
-        self.whole, self.fast, self.added = whole, fast, added
+    def __init__(self, path: str, fast=None, added: tuple[str, ...] = ()):
+        self.path, self.fast, self.added, self.tokenizer = path, fast, added, None
 
     def encode(self, text: str) -> list[int]:
         if self.fast is None or any(t in text for t in self.added) or (len(text) >= 20000 and _WIDE.search(text)):
-            return self.whole(text)
+            self.tokenizer = self.tokenizer or _tokenizer(self.path)
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast(text)
 
     def block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,15 +72,12 @@ def _rank_encoder(path: str):
 @lru_cache(maxsize=2)
 def text_encoder(path: str) -> TextEncoder:
     """Texts get the ids that ``tokenizers`` gives with ``encode(text, add_special_tokens=False)``."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    held = json.loads(tokenizer.to_str())
+    held = json.loads(_tokenizer(path).to_str())
     fast = _rank_encoder(path) if held["pre_tokenizer"] == _BYTE_LEVEL and held["normalizer"] is None else None
-    return TextEncoder(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, fast, tuple(t["content"] for t in held["added_tokens"]))
+    encoder = TextEncoder(path, fast, tuple(t["content"] for t in held["added_tokens"]))
+    del held
+    textkit.release()
+    return encoder
 
 
 def id_type(path: str) -> str:

@@ -251,6 +251,7 @@ def _evidence(rows: DataFrame, scorer, first: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "evidence", "strong", "n_words", *part.schema.names[first:]])
         # Workers are used again by other operators.
         _KEPT.clear()
+        textkit.release()
 
     return rows.mapInArrow(run, StructType([*StructType.fromDDL(_EVIDENCE).fields, *rows.schema.fields[first:]]))
 
