@@ -39,10 +39,13 @@ class TextEncoder:
 
     def encode(self, text: str) -> list[int]:
         if self.fast is None or any(t in text for t in self.added) or (len(text) >= 20000 and _WIDE.search(text)):
-            self.tokenizer = self.tokenizer or _tokenizer(self.path)
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return self.whole(text)
         return self.fast(text)
 
+    def whole(self, text: str) -> list[int]:
+        self.tokenizer = self.tokenizer or _tokenizer(self.path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and the first of each row."""
         raw = data.tobytes()
