@@ -41,4 +41,22 @@ m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w,
 f AS (SELECT *, {_FAILED} AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {_BASE}) <> 0 AS base_failed, (failed & {mask(CURRENT) | _BASE}) = 0 AS kept, n_lines, failed FROM f"""
 
-ORACLES: dict[str, str] = {"op3_suffix_tree_dedup": _OP3, "op9_minhash_near_dedup": _OP9, "op10_quality_rules": _OP10}
+_OP12 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT * FROM n WHERE rank <= 5"""
+
+_TERMS = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP13 = f"""WITH d AS (SELECT doc_id, unnest({_TERMS.format(text=_LOWER)}) AS term FROM documents),
+n AS (SELECT doc_id, COUNT(*) AS n FROM d GROUP BY 1), a AS (SELECT COUNT(*) AS docs, CAST(SUM(n) AS BIGINT) AS length FROM n),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS.format(text=_LOWER)}) AS term FROM benchmark),
+f AS (SELECT doc_id, term, COUNT(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS w FROM f, a GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, CAST(SUM(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length)))) AS BIGINT) AS score FROM i JOIN f USING (term) JOIN w USING (term) JOIN n USING (doc_id), a GROUP BY 1, 2),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50"""
+
+ORACLES: dict[str, str] = {"op3_suffix_tree_dedup": _OP3, "op9_minhash_near_dedup": _OP9, "op10_quality_rules": _OP10, "op12_hard_negatives": _OP12, "op13_lexical_search": _OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, media, near_dedup, packing, quality_rules, suffix_arrays, suffix_trees, templates, toxicity, training_order
+from . import bpe_automaton, certified_packing, hard_negatives, lexical_search, media, near_dedup, packing, quality_rules, suffix_arrays, suffix_trees, templates, toxicity, training_order
 from .common import read_table
 
 #: Where vocabulary files of public tokenizers are found; a parameter of the operators.
@@ -70,6 +70,18 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op11_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return certified_packing.packed(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_text": op1_template_text,
     "op2_bpe_automaton": op2_bpe_automaton,
@@ -81,4 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_packing": op8_vector_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_certified_packing": op11_certified_packing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_lexical_search": op13_lexical_search,
 }

@@ -162,11 +162,11 @@ def window_numbers(number: np.ndarray, n: int) -> np.ndarray:
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the rows of a block: places, rows, numbers and hashes."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the rows of a block, or what other bytes lie between: places, rows, numbers and hashes."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, between: np.ndarray = _WHITE):
         self.data, self.offs = (_LOWER[data] if lower else data), offs
-        black = ~_WHITE[data]
+        black = ~between[data]
         before = np.zeros_like(black)
         before[1:] = black[:-1]
         inner = offs[:-1][np.diff(offs) > 0]
