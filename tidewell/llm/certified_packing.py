@@ -42,33 +42,74 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 _NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
+class Rows:
+    """Growing rows of numbers, end to end."""
+
+    def __init__(self) -> None:
+        self.flat, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes, dtype=np.int64)])
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the rows, end to end; their bounds)."""
+        total = np.append(0, np.cumsum(self.first[rows + 1] - self.first[rows]))
+        place = np.repeat(self.first[rows] - total[:-1], np.diff(total)) + np.arange(total[-1])
+        return self.flat[place], total
+
+
 class WordIds:
-    """Ids of whole texts by way of their distinct words, whose ids are kept."""
+    """Ids of whole texts by way of their distinct words, and of these by way of the pieces that the vocabulary splits words into. Both are kept."""
 
     def __init__(self, path: str):
         self.encoder = WordEncoder(path)
-        self._begin()
-
-    def _begin(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat, self.first = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self._forget_words()
+        self._forget_pieces()
+
+    def _forget_words(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.of_word = Rows()
+
+    def _forget_pieces(self) -> None:
+        self.pieces: dict[bytes | str, int] = {}
+        self.of_piece = Rows()
+
+    def _split(self, word: str) -> list[bytes | str]:
+        """The pieces of a word; an added token is a string."""
+        encoder = self.encoder
+        if encoder.split_added is None or "<" not in word:
+            return encoder._pieces(word)
+        return [p for part in encoder.split_added.split(word) for p in ([part] if part in encoder.added else encoder._pieces(part))]
+
+    def _learn(self, words: list[bytes]) -> None:
+        split = [self._split(w.decode()) for w in words]
+        new = [p for p in dict.fromkeys(p for own in split for p in own) if p not in self.pieces]
+        plain = [p for p in new if isinstance(p, bytes)]
+        added = [p for p in new if isinstance(p, str)]
+        for p in [*plain, *added]:
+            self.pieces[p] = len(self.pieces)
+        flat, first = self.encoder.automaton.encode(plain)
+        self.of_piece.add(np.concatenate([flat, np.array([self.encoder.added[p] for p in added], np.int64)]), np.append(np.diff(first), np.ones(len(added), np.int64)))
+        sizes = np.array([len(own) for own in split], np.int64)
+        flat, bounds = self.of_piece.of(np.array([self.pieces[p] for own in split for p in own], np.int64))
+        ends = bounds[np.cumsum(sizes)]
+        self.of_word.add(flat, np.diff(np.append(0, ends)))
+        for w in words:
+            self.words[w] = len(self.words)
 
     def block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's rows, and the first of each row."""
-        if len(self.number) > TABLE_WORDS:
-            self._begin()
+        if len(self.words) > TABLE_WORDS:
+            self._forget_words()
+        if len(self.pieces) > TABLE_WORDS:
+            self._forget_pieces()
         words = textkit.Words(data, offs)
         distinct = words.distinct
-        missing = [w for w in distinct if w not in self.number]
-        found = self.encoder.encode([w.decode() for w in missing])
-        for w in missing:
-            self.number[w] = len(self.number)
-        self.flat = np.concatenate([self.flat, np.array([i for ids in found for i in ids], "<u4")])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(ids) for ids in found], dtype=np.int64)])
-        word = np.array([self.number[w] for w in distinct], np.int64)[words.number[0]] if distinct else np.zeros(0, np.int64)
-        total = np.append(0, np.cumsum(self.first[word + 1] - self.first[word]))
-        place = np.repeat(self.first[word] - total[:-1], np.diff(total)) + np.arange(total[-1])
-        return self.flat[place], total[words.first]
+        if missing := [w for w in distinct if w not in self.words]:
+            self._learn(missing)
+        flat, total = self.of_word.of(np.array([self.words[w] for w in distinct], np.int64)[words.number[0]])
+        return flat.astype("<u4"), total[words.first]
 
 
 @lru_cache(maxsize=1)
