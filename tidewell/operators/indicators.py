@@ -67,11 +67,14 @@ def rolling_relationship(df: DataFrame, n: int = 60, least: int = 30, least_down
     down = both & (F.col("m") < 0)
     da, db = F.when(down, F.col("r")), F.when(down, F.col("m"))
     count, count_down = F.count(a).over(w), F.count(da).over(w)
+    # Sides that don't move have no relation.
+    moved = (F.var_pop(a).over(w) * count > 1e-12) & (F.var_pop(b).over(w) * count > 1e-12)
+    spread, spread_down = F.nullif(F.var_samp(b).over(w), F.lit(0.0)), F.nullif(F.var_samp(db).over(w), F.lit(0.0))
     return df.select(
         "*",
-        F.when(count >= least, F.corr(a, b).over(w)).alias("corr"),
-        F.when(count >= least, F.covar_samp(a, b).over(w) / F.var_samp(b).over(w)).alias("beta"),
-        F.when(count_down >= least_down, F.covar_samp(da, db).over(w) / F.var_samp(db).over(w)).alias("downside_beta"),
+        F.when((count >= least) & moved, F.covar_pop(a, b).over(w) / F.nullif(F.sqrt(F.var_pop(a).over(w) * F.var_pop(b).over(w)), F.lit(0.0))).alias("corr"),
+        F.when((count >= least) & moved, F.covar_samp(a, b).over(w) / spread).alias("beta"),
+        F.when(count_down >= least_down, F.covar_samp(da, db).over(w) / spread_down).alias("downside_beta"),
     )
 
 

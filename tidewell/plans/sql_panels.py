@@ -15,11 +15,17 @@ PANELS = {
       ROUND(value * CASE WHEN event_type IN ('error', 'view') THEN -1 ELSE 1 END + 0.0000013, 4) AS changed, event_id AS record FROM events)""",
     "dirty": """dirty AS (SELECT * REPLACE (CASE WHEN datediff('day', DATE '1990-01-01', t) % 17 = 0 THEN NULL WHEN datediff('day', DATE '1990-01-01', t) % 23 = 0 THEN 0.0
       WHEN datediff('day', DATE '1990-01-01', t) % 97 = 0 THEN ROUND(v * 10, 4) ELSE v END AS v) FROM price)""",
+    "mood": """mood AS (SELECT t, fear, news, credit_change, CASE WHEN len(past) >= 40 AND credit_change IS NOT NULL THEN len(list_filter(past, lambda x: x <= credit_change)) / len(past) END AS credit_pct FROM (
+      SELECT *, list(credit_change) FILTER (credit_change IS NOT NULL) OVER (ORDER BY t ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING) AS past FROM (
+      SELECT t, fear, ROUND(100 * price / AVG(price) OVER (ORDER BY t ROWS 19 PRECEDING) + 0.0000013, 4) AS news, ROUND((credit / lag(credit, 20) OVER (ORDER BY t) - 1) * 100 + 0.0000013, 4) AS credit_change FROM (
+      SELECT CAST(o_orderdate AS DATE) AS t, ROUND(100 * AVG(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0.0 ELSE 1.0 END) + 0.0000013, 4) AS fear, ROUND(SUM(o_totalprice) / 1000 + 0.0000013, 4) AS credit, ROUND(AVG(o_totalprice) + 0.0000013, 4) AS price FROM orders GROUP BY 1))))""",
+    "breadth": """breadth AS (SELECT market, t, ROUND(CASE WHEN SUM(down) OVER w > 0 THEN 100 * SUM(up) OVER w / SUM(down) OVER w END + 0.0000013, 4) AS adr FROM (
+      SELECT market, t, COUNT(*) FILTER (v > p) AS up, COUNT(*) FILTER (v < p) AS down FROM (SELECT *, lag(v) OVER (PARTITION BY k ORDER BY t) AS p FROM price) GROUP BY 1, 2) WINDOW w AS (PARTITION BY market ORDER BY t ROWS 19 PRECEDING))""",
 }
 
 
 def with_panels(*names: str, sql: str) -> str:
-    needed = [n for n in PANELS if n in names or (n == "price" and {"benchmark", "dirty"} & set(names))]
+    needed = [n for n in PANELS if n in names or (n == "price" and {"benchmark", "dirty", "breadth"} & set(names))]
     more = sql.lstrip()
     parts = ",\n".join(PANELS[n] for n in needed)
     if more[:15].upper() == "WITH RECURSIVE ":

@@ -1149,4 +1149,4 @@ def _(s, d):
     return A.envelope(U_dirty(s, d))
 
 
-from . import queries_evidence, queries_panels, queries_reports, queries_shapes  # noqa: E402, F401
+from . import queries_evidence, queries_panels, queries_reports, queries_shapes, queries_timing  # noqa: E402, F401

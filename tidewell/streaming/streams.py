@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +38,20 @@ def deduplicated(events: DataFrame) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(["event_id"])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset one is made, on a single machine alone."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors share no folder")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    return folder.rstrip("/")
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a bounded stream gives, by running it until its source is empty."""
     spark = stream.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    import uuid
-
-    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.outputMode("append").format("parquet").option("path", at + "/out").option("checkpointLocation", at + "/log").trigger(availableNow=True).start()
     else:
