@@ -12,7 +12,7 @@ give changes of signals: (slot, revision), of which the last one of a slot stand
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -225,7 +225,7 @@ def walked(walk: Walk, rows: pd.DataFrame, k) -> pd.DataFrame:
 def signal_changes(rows: DataFrame) -> DataFrame:
     """All changes of signals of whole series. One series is a group: thirty years of days are 7,500 rows."""
 
-    def run(key: tuple, group: pd.DataFrame) -> Iterable[pd.DataFrame]:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return walked(Walk(), group.sort_values("i"), key[0])
 
     return rows.groupBy("k").applyInPandas(run, SIGNALS.format(kind=dict(rows.dtypes)["k"]))

@@ -992,7 +992,7 @@ def _(s, d):
 
 @query("st4_daily_last", f"SELECT user_id AS k, CAST(ts AS DATE) AS t, {r6('arg_max(value, (ts, event_id)) AS v', 'SUM(value) AS total')}, COUNT(*) AS n FROM events GROUP BY 1, 2")
 def _(s, d):
-    return ST.drained(ST.daily_last(ST.source(s, d)), "complete")
+    return ST.closed(s, d, ST.daily_last)
 
 
 @query(
@@ -1000,7 +1000,7 @@ def _(s, d):
     f"""WITH d AS (SELECT event_type AS k, CAST(ts AS DATE) AS t, value FROM events), w AS (SELECT k, value, CAST(t - INTERVAL (i) DAY AS DATE) AS t FROM d, range(7) r(i)) SELECT k, t, COUNT(*) AS n, {r6('AVG(value) AS v')} FROM w GROUP BY 1, 2""",
 )
 def _(s, d):
-    return ST.drained(ST.rolling_days(ST.source(s, d)), "complete")
+    return ST.closed(s, d, ST.rolling_days)
 
 
 @query(
@@ -1009,7 +1009,7 @@ def _(s, d):
     SELECT k, MIN(ts) AS from_ts, MAX(ts) + INTERVAL 6 HOUR AS to_ts, COUNT(*) AS n FROM s GROUP BY s.k, s.n""",
 )
 def _(s, d):
-    return ST.drained(ST.sessions(ST.source(s, d)), "complete")
+    return ST.closed(s, d, ST.sessions)
 
 
 @query("st8_deduplicated", "SELECT COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS ids FROM events")
@@ -1149,4 +1149,4 @@ def _(s, d):
     return A.envelope(U_dirty(s, d))
 
 
-from . import queries_evidence, queries_panels, queries_reports, queries_shapes, queries_timing  # noqa: E402, F401
+from . import queries_evidence, queries_landing, queries_panels, queries_reports, queries_shapes, queries_timing  # noqa: E402, F401
