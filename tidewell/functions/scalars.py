@@ -25,15 +25,6 @@ def number(x: str) -> Column:
     return F.expr(f"try_cast(regexp_replace({x}, ',', '') AS DOUBLE)")
 
 
-def headline_similarity(a: Column, b: Column) -> Column:
-    """1 for equal texts, else the larger of Jaccard and 0.9 of containment over words, if two at least are shared."""
-    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"[^0-9a-zA-Z]+"), lambda w: F.length(w) > 1))
-    x, y = words(a), words(b)
-    both = F.size(F.array_intersect(x, y))
-    score = F.greatest(both / F.size(F.array_union(x, y)), 0.9 * both / F.least(F.size(x), F.size(y)))
-    return F.when(a == b, 1.0).when(both >= 2, score).otherwise(0.0)
-
-
 def add_years(t: Column, n: int) -> Column:
     return F.add_months(t, 12 * n)
 

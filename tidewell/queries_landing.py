@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .operators import crisis as C
+from .operators import news as N
 from .plans import panels as P
 from .plans.sql_panels import r6
 from .queries import KT, query
@@ -171,3 +172,14 @@ def _(s, d):
 )
 def _(s, d):
     return C.reported(C.crisis_scores(_readings(s, d))).select("k", "t", "score", "stage")
+
+
+# ---- news: orders told as headlines of their nations
+
+
+@query("m32_news_clusters")
+def _(s, d):
+    orders, customers, nations = (P.table(s, d, t) for t in ("orders", "customer", "nation"))
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    title = F.concat_ws(" ", F.concat(F.lit("["), "o_orderpriority", F.lit("]")), "n_name", F.lower("c_mktsegment"), F.lit("order worth about"), F.round(F.col("o_totalprice") / 40000).cast("int").cast("string"), F.lit("is"), "o_orderstatus")
+    return N.cluster_news(rows.select(F.col("c_nationkey").alias("k"), F.to_date("o_orderdate").alias("t"), title.alias("title"), F.concat(F.lit("s"), F.col("o_custkey") % 5).alias("source")))

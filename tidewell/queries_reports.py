@@ -525,11 +525,15 @@ def _(s, d):
 
 @query(
     "x4_headline_similarity",
-    f"""WITH t AS (SELECT p_partkey AS k, p_name AS a, p_type AS b, list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_brand), '[^0-9a-zA-Z]+'), lambda w: length(w) > 1)) AS x, list_distinct(list_filter(regexp_split_to_array(lower(p_type || ' ' || p_brand), '[^0-9a-zA-Z]+'), lambda w: length(w) > 1)) AS y FROM part), n AS (SELECT *, len(list_intersect(x, y)) AS c FROM t)
-    SELECT k, {r6('CASE WHEN a = b THEN 1 WHEN c >= 2 THEN greatest(c / (len(x) + len(y) - c), 0.9 * c / least(len(x), len(y))) ELSE 0 END AS score')} FROM n""",
+    f"""WITH t AS (SELECT p_partkey AS k, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^0-9a-z]+', ' ', 'g')) AS a, trim(regexp_replace(lower(CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '') || '  ' || p_brand WHEN 1 THEN p_type || ' ' || p_name || ' ' || p_brand WHEN 2 THEN p_brand || ' ' || p_name ELSE p_type || ' ' || p_brand END), '[^0-9a-z]+', ' ', 'g')) AS b FROM part),
+    w AS (SELECT *, replace(a, ' ', '') AS ca, replace(b, ' ', '') AS cb, list_distinct(list_filter(string_split(a, ' '), lambda w: length(w) > 1)) AS x, list_distinct(list_filter(string_split(b, ' '), lambda w: length(w) > 1)) AS y FROM t), n AS (SELECT *, len(list_intersect(x, y)) AS c FROM w)
+    SELECT k, {r6('CASE WHEN a = b THEN 1 WHEN ca = cb THEN 0.98 WHEN least(length(ca), length(cb)) >= 12 AND (contains(ca, cb) OR contains(cb, ca)) THEN 0.9 WHEN c >= 2 THEN greatest(c / (len(x) + len(y) - c), 0.9 * c / least(len(x), len(y))) ELSE 0 END AS score')} FROM n""",
 )
 def _(s, d):
-    return _titles(s, d).select("k", X.headline_similarity(F.concat_ws(" ", "p_name", "p_brand"), F.concat_ws(" ", "p_type", "p_brand")).alias("score"))
+    kind = F.col("p_partkey") % 4
+    other = F.when(kind == 0, F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("  "), "p_brand")).when(kind == 1, F.concat_ws(" ", "p_type", "p_name", "p_brand")).when(kind == 2, F.concat_ws(" ", "p_brand", "p_name")).otherwise(F.concat_ws(" ", "p_type", "p_brand"))
+    rows = P.table(s, d, "part").select(F.col("p_partkey").alias("k"), T.normalize_headline(F.concat_ws(" ", "p_name", "p_brand")).alias("a"), T.normalize_headline(other).alias("b"))
+    return rows.select("k", T.likeness(F.col("a"), F.col("b"), T.headline_words(F.col("a")), T.headline_words(F.col("b"))).alias("score"))
 
 
 @query("x5_stock_code", "SELECT s_suppkey AS k, printf('%06d', s_suppkey) AS code FROM supplier WHERE s_suppkey % 4 <> 3")
