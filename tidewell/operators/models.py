@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import asof, indicators
+from .selection_of_models import ridge_models
 
 FEATURES = ("r5", "r20", "r60", "vol20", "vol60", "draw60", "pos60", "mean20")
 
@@ -36,30 +35,8 @@ def build_samples(df: DataFrame, horizon: int = 20, step: int = 21, least: int =
 
 
 def fit_ridge(samples: DataFrame, by: str, features: tuple[str, ...] = FEATURES, penalty: float = 10.0) -> DataFrame:
-    """(by, intercept, coefficients): standardised features, an unpenalised intercept.
-
-    Sums of products are aggregated on Spark; a group comes to its task as one row of them, whatever its number of samples.
-    """
-    x = [*features, "y"]
-    sums = [F.sum(c).alias(f"s_{i}") for i, c in enumerate(x)]
-    products = [F.sum(F.col(a) * F.col(b)).alias(f"p_{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x) if j >= i]
-    gram = samples.groupBy(by).agg(F.count("*").alias("n"), *sums, *products)
-    p = len(features)
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in frame.to_dict("records"):
-            n = row["n"]
-            mean = np.array([row[f"s_{i}"] for i in range(p + 1)]) / n
-            second = np.array([[row[f"p_{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)])
-            cov = second - n * np.outer(mean, mean)
-            sd = np.sqrt(np.maximum(np.diag(cov)[:p] / max(n - 1, 1), 1e-18))
-            beta = np.linalg.solve(cov[:p, :p] / np.outer(sd, sd) + penalty * np.eye(p), cov[:p, p] / sd) / sd
-            out.append((row[by], n, float(mean[p] - mean[:p] @ beta), beta.tolist()))
-        return pd.DataFrame(out, columns=[by, "n", "intercept", "coefficients"])
-
-    kind = dict(samples.dtypes)[by]
-    return gram.mapInPandas(lambda frames: (solve(f) for f in frames if len(f)), f"{by} {kind}, n long, intercept double, coefficients array<double>")
+    """(by, n, intercept, coefficients): standardised features, targets held between their 1st and 99th percentile, an unpenalised intercept."""
+    return ridge_models(samples, [by], list(features), (penalty,), 1).drop("penalty")
 
 
 def predict(samples: DataFrame, model: DataFrame, by: str, features: tuple[str, ...] = FEATURES) -> DataFrame:

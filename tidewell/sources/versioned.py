@@ -129,3 +129,12 @@ def summary(table: VersionedTable) -> DataFrame:
     rows = table.read()
     digest = F.conv(F.substring(F.sha2(F.to_json(F.struct("t", "v")), 256), 1, 12), 16, 10).cast("decimal(20,0)")
     return rows.groupBy("k").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("latest"), F.sum(digest).alias("fingerprint"))
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once to the folder that all executors share, and read back: what is used several times is worked out once, and no lost executor undoes it."""
+    from ..streaming.streams import shared_folder
+
+    folder = f"{shared_folder(df.sparkSession)}/{purpose}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
