@@ -11,6 +11,8 @@ from .operators.indicators import by_time
 from .plans import panels as P
 from .plans.sql_panels import r6
 from .queries import SIGNALS, query, signals
+from .streaming import stateful as SF
+from .streaming import streams as ST
 
 _HIT = "CASE WHEN side = 'buy' THEN {x} / v - 1 >= m ELSE {x} / v - 1 <= -m END"
 _OUTCOMES = f"""WITH {SIGNALS}, a AS (SELECT *, k % 4 <> 0 AS stock, CASE WHEN k % 4 <> 0 THEN 0.07 ELSE 0.04 END - 1e-10 AS m, lead(v, 5) OVER w AS v5, lead(v, 10) OVER w AS v10, lead(v, 20) OVER w AS v20, lead(v, 63) OVER w AS v63,
@@ -99,18 +101,41 @@ def _(s, d):
     return O.trading_days(P.price(s, d).select("t").distinct(), other.filter("k = 1"), other.filter("k = 2"), reference)
 
 
-@query(
-    "m27_journal_scores",
-    f"""WITH j AS (SELECT k, t AS as_of, v AS base, ln(v / lag(v, 20) OVER w) AS momentum FROM price WINDOW w AS (PARTITION BY k ORDER BY t)), i AS (SELECT *, 0.4 * momentum AS predicted, 0.4 * momentum - 0.6 AS low, 0.4 * momentum + 0.6 AS high, as_of + 28 AS target_t FROM j WHERE momentum IS NOT NULL),
+_SCORES = f"""WITH j AS (SELECT k, t AS as_of, v AS base, ln(v / lag(v, 20) OVER w) AS momentum FROM price WINDOW w AS (PARTITION BY k ORDER BY t)), i AS (SELECT *, 0.4 * momentum AS predicted, 0.4 * momentum - 0.6 AS low, 0.4 * momentum + 0.6 AS high, as_of + 28 AS target_t FROM j WHERE momentum IS NOT NULL),
     x AS (SELECT i.*, CASE WHEN p.t - i.target_t <= 14 THEN p.t END AS actual_t, CASE WHEN p.t - i.target_t <= 14 THEN ln(p.v / base) END AS actual FROM i ASOF LEFT JOIN price p ON p.k = i.k AND p.t >= i.target_t)
-    SELECT k, datediff('day', DATE '1990-01-01', as_of) AS id, as_of, target_t, actual_t, {r6('actual', 'abs(predicted - actual) AS error', 'predicted - actual AS signed', 'abs(momentum - actual) AS momentum_error', 'abs(actual) AS no_change_error')}, sign(predicted) = sign(actual) AS direction_right, actual BETWEEN low AND high AS covered FROM x""",
-    ("price",),
-)
-def _(s, d):
+    SELECT k, datediff('day', DATE '1990-01-01', as_of) AS id, as_of, target_t, actual_t, {r6('actual', 'abs(predicted - actual) AS error', 'predicted - actual AS signed', 'abs(momentum - actual) AS momentum_error', 'abs(actual) AS no_change_error')}, sign(predicted) = sign(actual) AS direction_right, actual BETWEEN low AND high AS covered FROM x"""
+
+
+def _journal(s, d):
     rows = P.price(s, d).withColumn("momentum", F.ln(F.col("v") / F.lag("v", 20).over(by_time()))).filter("momentum IS NOT NULL")
     told = rows.select("k", F.datediff("t", F.lit("1990-01-01")).cast("long").alias("id"), F.col("t").alias("as_of"), F.date_add("t", 28).alias("target_t"), F.col("v").alias("base"), "momentum", (0.4 * F.col("momentum")).alias("predicted"))
-    journal = told.withColumn("low", F.col("predicted") - 0.6).withColumn("high", F.col("predicted") + 0.6)
-    return O.score_journal(journal, P.price(s, d))
+    return told.withColumn("low", F.col("predicted") - 0.6).withColumn("high", F.col("predicted") + 0.6)
+
+
+@query("m27_journal_scores", _SCORES, ("price",))
+def _(s, d):
+    return O.score_journal(_journal(s, d), P.price(s, d))
+
+
+@query("st12_journal_stream", _SCORES, ("price",))
+def _(s, d):
+    """Forecasts and prices land in three parts; a last row of another key ends the wait for prices that never come."""
+    events = SF.journal_events(_journal(s, d), P.price(s, d))
+    end = s.range(1).select(*[(F.lit(-1) if f.name == "k" else F.lit(ST.END) if f.name == "t" else F.lit(True) if f.name == "is_price" else F.lit(1.0) if f.name == "v" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+    return SF.in_landings(events.unionByName(end), ["1995-03-01", "1998-03-01"], SF.journal_scores, "journal")
+
+
+@query(
+    "st10_ledger_stream",
+    """WITH a AS (SELECT user_id AS k, event_id AS id, ts, event_type <> 'error' AS ok FROM events), b AS (SELECT *, COUNT(*) FILTER (ok) OVER w AS run, MAX(ts) FILTER (ok) OVER w AS last_success, MAX(ts) FILTER (NOT ok) OVER w AS last_failure FROM a WINDOW w AS (PARTITION BY k ORDER BY ts, id ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT *, COUNT(*) FILTER (NOT ok) OVER (PARTITION BY k, run ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS n FROM b)
+    SELECT k, id, ts, CASE WHEN ok THEN 'ready' WHEN last_success IS NOT NULL THEN 'stale' ELSE 'error' END AS state, CAST(CASE WHEN ok THEN 0 ELSE n END AS INTEGER) AS failures, last_success, last_failure,
+      CASE WHEN NOT ok THEN ts + to_seconds(least(300, 30 * CAST(power(2, least(4, n - 1)) AS INTEGER))) END AS next_attempt FROM c""",
+)
+def _(s, d):
+    rows = P.table(s, d, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
+    attempts = rows.withColumn("t", F.to_date("ts"))
+    return SF.in_landings(attempts, ["2024-01-05", "2024-01-12"], SF.source_ledger, "ledger")
 
 
 @query("m15_select_model")
