@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import models as MO
 from .operators import outcomes as O
+from .operators import profiles as PR
 from .operators import selection_of_models as S
 from .operators.indicators import by_time
 from .plans import panels as P
@@ -145,3 +146,9 @@ def _(s, d):
     rows = MO.build_samples(prices).join(prices.select("k", F.col("market").alias("g")).distinct(), "k")
     rows = rows.withColumn("baseline", 0.5 * F.col("r20")).withColumn("vol", F.col("vol60"))
     return S.select_models(rows.select("g", "t", "target_t", "y", "baseline", "vol", *MO.FEATURES).na.drop(), list(MO.FEATURES), 20, lookbacks=(1, 2, 4), least=20)
+
+
+@query("a35_structural_profile")
+def _(s, d):
+    rows = P.price(s, d).join(P.benchmark(s, d).withColumnRenamed("v", "bench"), ["market", "t"])
+    return PR.structural_profile(rows.select("k", "t", "v", "bench"))
