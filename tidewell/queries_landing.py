@@ -27,7 +27,7 @@ def _folder(s, purpose: str) -> str:
 
 _LANDINGS = f"""WITH a AS (SELECT k, t, v FROM price WHERE t < DATE '1996-01-01'),
     b AS (SELECT k, t, CASE WHEN t >= DATE '1996-01-01' THEN v WHEN k % 5 = 0 THEN v * 3 ELSE v * 1.01 END AS v FROM price WHERE t >= DATE '1995-06-01' AND t < DATE '1998-01-01'),
-    c AS (SELECT k, t, CASE WHEN t >= DATE '1998-01-01' AND datediff('day', DATE '1990-01-01', t) % 17 = 0 THEN -1.0 ELSE v END AS v FROM price WHERE t >= DATE '1998-01-01' OR (day(t) = 15 AND year(t) = 1994)),
+    c AS (SELECT k, t, CASE WHEN t >= DATE '1998-01-01' AND datediff('day', DATE '1990-01-01', t) % 17 = 0 THEN -1.0 ELSE v END AS v FROM price WHERE t >= DATE '1998-01-01' OR (day(t) = 15 AND year(t) = 1995)),
     {{steps}}"""
 
 
@@ -49,7 +49,7 @@ def landed(s, d):
     parts = [
         rows.filter(F.col("t") < first),
         rows.filter((F.col("t") >= "1995-06-01") & (F.col("t") < second)).withColumn("v", F.when(F.col("t") >= first, F.col("v")).when(F.col("k") % 5 == 0, F.col("v") * 3).otherwise(F.col("v") * 1.01)),
-        rows.filter((F.col("t") >= second) | ((F.dayofmonth("t") == 15) & (F.year("t") == 1994))).withColumn("v", F.when((F.col("t") >= second) & (day % 17 == 0), -1.0).otherwise(F.col("v"))),
+        rows.filter((F.col("t") >= second) | ((F.dayofmonth("t") == 15) & (F.year("t") == 1995))).withColumn("v", F.when((F.col("t") >= second) & (day % 17 == 0), -1.0).otherwise(F.col("v"))),
     ]
     folder = _folder(s, "landing")
     schema = rows.withColumn("seq", F.lit(0)).schema

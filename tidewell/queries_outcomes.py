@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
+from .operators import challenger as CH
 from .operators import models as MO
 from .operators import outcomes as O
 from .operators import profiles as PR
@@ -12,6 +15,7 @@ from .operators.indicators import by_time
 from .plans import panels as P
 from .plans.sql_panels import r6
 from .queries import SIGNALS, query, signals
+from .sources.versioned import stored
 from .streaming import stateful as SF
 from .streaming import streams as ST
 
@@ -152,3 +156,26 @@ def _(s, d):
 def _(s, d):
     rows = P.price(s, d).join(P.benchmark(s, d).withColumnRenamed("v", "bench"), ["market", "t"])
     return PR.structural_profile(rows.select("k", "t", "v", "bench"))
+
+
+def _monthly_samples(s, d):
+    """Features and outcomes of each series' last row of a month, dated at its beginning, so that series can be ranked."""
+    w = by_time()
+    rows = MO.forecast_features(P.price(s, d)).withColumn("y", F.ln(F.lead("v", 20).over(w) / F.col("v"))).withColumn("target_t", F.lead("t", 20).over(w)).filter("y IS NOT NULL AND r60 IS NOT NULL")
+    last = rows.groupBy("k", F.trunc("t", "month").alias("month")).agg(F.max_by(F.struct("target_t", "y", *MO.FEATURES), "t").alias("x"))
+    return last.select("k", F.col("month").alias("t"), "x.*")
+
+
+_SPAN = datetime.date(2000, 1, 1), datetime.date(2000, 12, 31)
+
+
+@query("m30_rolling_challenger")
+def _(s, d):
+    rows = stored(CH.ranked_samples(_monthly_samples(s, d), list(MO.FEATURES)), "challenger")
+    told = CH.rolling_predictions(rows, rows, *_SPAN, months=6)
+    return told.select("k", "t", "target_t", "cutoff", "y", "label", "predicted")
+
+
+@query("m37_challenger_rungs")
+def _(s, d):
+    return CH.run_challenger(_monthly_samples(s, d), list(MO.FEATURES), *_SPAN, months=6)

@@ -98,4 +98,4 @@ def _(s, d):
 def _(s, d):
     """Lands in three parts, between which the query stops; the signals that stand are those of m6."""
     rows = E.reduced(_arms(s, d))
-    return E.standing(SF.in_landings(rows, ["1994-06-01", "1997-01-01"], SF.episode_changes, "episodes"))
+    return E.standing(SF.in_landings(rows, ["1997-06-01", "1999-09-01"], SF.episode_changes, "episodes"))
