@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,22 +59,23 @@ def first_discontinuity(df: DataFrame, rate: float, absolute: float) -> DataFram
 def accept_tail(seed: DataFrame, live: DataFrame, rel: float) -> DataFrame:
     """Live rows after the seed that follow from the last accepted value: one isolated break is skipped, two in a row end the tail.
 
-    The order matters, so each key's new rows are folded; they are the few since the last run.
+    The order matters, so each key's new rows are walked once; they are the few since the last run.
     """
     last = seed.filter("v IS NOT NULL").groupBy("k").agg(F.max("t").alias("last_t"), F.max_by("v", "t").alias("last_v"))
-    rows = live.filter("v IS NOT NULL").join(last, "k").filter("t > last_t")
-    series = rows.groupBy("k", "last_v").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s"))
-    start = F.struct(F.col("last_v").alias("at"), F.lit(0).alias("breaks"), F.array().cast("array<struct<t:date,v:double>>").alias("kept"))
-
-    def step(acc, p):
-        good = (F.abs(p["v"] - acc["at"]) <= F.abs(acc["at"]) * rel) & (acc["breaks"] < 2)
-        return F.struct(
-            F.when(good, p["v"]).otherwise(acc["at"]).alias("at"),
-            F.when(acc["breaks"] >= 2, F.lit(2)).when(good, F.lit(0)).otherwise(acc["breaks"] + 1).alias("breaks"),
-            F.when(good, F.concat(acc["kept"], F.array(p))).otherwise(acc["kept"]).alias("kept"),
-        )
-
-    return series.select("k", F.explode(F.aggregate("s", start, step)["kept"]).alias("p")).select("k", "p.t", "p.v")
+    rows = live.filter("v IS NOT NULL").join(last, "k").filter("t > last_t").select("k", "t", F.col("v").cast("double").alias("v"), "last_v")
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t")
+        at, breaks, kept = group["last_v"].iloc[0], 0, []
+        for v in group["v"]:
+            good = breaks < 2 and abs(v - at) <= abs(at) * rel
+            kept.append(good)
+            at, breaks = (v, 0) if good else (at, breaks + 1)
+            if breaks == 2:
+                break
+        return group[["k", "t", "v"]].iloc[: len(kept)][kept]
+
+    return rows.groupBy("k").applyInPandas(walk, f"k {dict(rows.dtypes)['k']}, t date, v double")
 
 
 def price_integrity(df: DataFrame, ratio: float, max_gap: int) -> DataFrame:

@@ -1149,4 +1149,4 @@ def _(s, d):
     return A.envelope(U_dirty(s, d))
 
 
-from . import queries_evidence, queries_landing, queries_outcomes, queries_panels, queries_reports, queries_shapes, queries_timing  # noqa: E402, F401
+from . import queries_evidence, queries_incremental, queries_landing, queries_outcomes, queries_panels, queries_reports, queries_shapes, queries_timing  # noqa: E402, F401
