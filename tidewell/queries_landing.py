@@ -12,6 +12,7 @@ from .operators import news as N
 from .plans import panels as P
 from .plans.sql_panels import r6
 from .queries import KT, query
+from .sources import codes as CM
 from .sources import versioned as V
 from .streaming import landing as L
 from .streaming import streams as ST
@@ -183,3 +184,27 @@ def _(s, d):
     rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     title = F.concat_ws(" ", F.concat(F.lit("["), "o_orderpriority", F.lit("]")), "n_name", F.lower("c_mktsegment"), F.lit("order worth about"), F.round(F.col("o_totalprice") / 40000).cast("int").cast("string"), F.lit("is"), "o_orderstatus")
     return N.cluster_news(rows.select(F.col("c_nationkey").alias("k"), F.to_date("o_orderdate").alias("t"), title.alias("title"), F.concat(F.lit("s"), F.col("o_custkey") % 5).alias("source")))
+
+
+# ---- a code map from XML: suppliers as companies, some without a stock code, some with names that others have too
+
+
+@query(
+    "s19_code_map",
+    """WITH e AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN printf('%06d', s_suppkey) ELSE '' END AS stock_code, printf('%08d', s_suppkey) AS corp_code, CASE WHEN s_suppkey % 5 = 0 THEN '(주) 회사 ' || (s_suppkey // 10) ELSE '주식회사 ' || s_name END AS corp_name FROM supplier),
+    l AS (SELECT printf('%06d', s_suppkey) AS code, CASE WHEN s_suppkey % 5 = 0 THEN '회사' || (s_suppkey // 10) ELSE lower(replace(s_name, '#', '')) END AS name FROM supplier),
+    c AS (SELECT stock_code, corp_code, corp_name, FALSE AS by_name FROM e WHERE stock_code <> ''), n AS (SELECT lower(regexp_replace(replace(replace(corp_name, '(주)', ''), '주식회사', ''), '[^0-9A-Za-z가-힣]+', '', 'g')) AS name, MIN(corp_code) AS corp_code, MIN(corp_name) AS corp_name FROM e GROUP BY 1 HAVING COUNT(*) = 1)
+    SELECT * FROM c UNION ALL SELECT l.code, n.corp_code, n.corp_name, TRUE FROM l JOIN n ON regexp_replace(l.name, '[^0-9a-z가-힣]+', '', 'g') = n.name WHERE l.code NOT IN (SELECT stock_code FROM c)""",
+)
+def _(s, d):
+    key, name = F.col("s_suppkey"), F.concat(F.lit("회사"), F.floor(F.col("s_suppkey") / 10).cast("string"))
+    rows = P.table(s, d, "supplier")
+    odd = key % 5 != 0
+    entries = rows.select(
+        F.when(key % 3 == 0, F.lpad(key.cast("string"), 6, "0")).otherwise("").alias("stock_code"), F.lpad(key.cast("string"), 8, "0").alias("corp_code"),
+        F.when(odd, F.concat(F.lit("주식회사 "), "s_name")).otherwise(F.concat(F.lit("(주) 회사 "), F.floor(key / 10).cast("string"))).alias("corp_name"),
+    )
+    folder = _folder(s, "codes")
+    entries.write.format("xml").option("rowTag", "list").option("rootTag", "result").save(folder)
+    listed = rows.select(F.lpad(key.cast("string"), 6, "0").alias("code"), F.when(odd, F.lower(F.replace("s_name", F.lit("#"), F.lit("")))).otherwise(name).alias("name"))
+    return CM.code_map(CM.read_code_list(s, folder), listed)
