@@ -80,9 +80,17 @@ def match_anchors(a: DataFrame, b: DataFrame, tolerance: float = 0.03) -> DataFr
 
 
 def match_aliases(left: DataFrame, candidates: DataFrame, accept: int = 120) -> DataFrame:
-    """Codes (market, code, name) with the one candidate of their market that scores best by name and code; none where two are equally good."""
-    c = candidates.select("market", F.col("code").alias("ccode"), F.col("name").alias("cname"))
-    rows = left.join(c, "market")
+    """Codes (market, code, name) with the one candidate of their market that scores best by name and code; none where two are equally good.
+
+    Without five common digits, or one name that begins the other, no pair scores more than 40; so only pairs that share one of these meet.
+    """
+    if accept <= 40:
+        raise ValueError("pairs of 40 or less aren't looked for")
+    begins = lambda c, n: F.concat(F.lit("n"), F.substring(c, 1, n))
+    digits = lambda c: F.concat(F.lit("c"), F.substring(c, 1, 5))
+    c = candidates.select("market", F.col("code").alias("ccode"), F.col("name").alias("cname")).withColumn("key", F.explode(F.array(digits("ccode"), begins("cname", 3))))
+    keyed = left.select("market", "code", "name").withColumn("key", F.explode(F.array_distinct(F.array(digits("code"), *[begins("name", n) for n in range(4)]))))
+    rows = keyed.join(c, ["market", "key"]).drop("key").distinct()
     prefix = (F.length("name") >= 3) & (F.col("cname").startswith(F.col("name")) | F.col("name").startswith(F.col("cname")))
     score = (
         F.when(F.col("cname") == F.col("name"), 300).when(prefix, 160).otherwise(0)

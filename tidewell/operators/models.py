@@ -63,10 +63,12 @@ def calibrate_predictions(df: DataFrame, by: str, scales: tuple[float, ...] = (0
 
 def financial_snapshots(fin: DataFrame) -> DataFrame:
     """At each report date of a series: the periods known by then, each in its latest version. fin: k, period, report_date, v."""
-    dates = fin.select("k", F.col("report_date").alias("as_of")).distinct()
-    rows = dates.join(fin, "k").filter("report_date <= as_of")
-    latest = rows.groupBy("k", "as_of", "period").agg(F.max_by("v", "report_date").alias("v"))
-    return latest.groupBy("k", "as_of").agg(F.count("*").alias("periods"), F.sum("v").alias("total"), F.max("period").alias("latest_period"))
+    # A version changes the total by what it differs from the one before it, and the number of periods where it is the first; both add up along the report dates.
+    own, known = Window.partitionBy("k", "period").orderBy("report_date"), Window.partitionBy("k").orderBy("report_date").rangeBetween(Window.unboundedPreceding, 0)
+    before = F.lag("v").over(own)
+    rows = fin.withColumn("first", (F.row_number().over(own) == 1).cast("int")).withColumn("change", F.coalesce("v", F.lit(0.0)) - F.coalesce(before, F.lit(0.0)))
+    sums = rows.select("k", F.col("report_date").alias("as_of"), F.sum("first").over(known).alias("periods"), F.sum("change").over(known).alias("total"), F.max("period").over(known).alias("latest_period"))
+    return sums.groupBy("k", "as_of").agg(F.max("periods").alias("periods"), F.first("total").alias("total"), F.first("latest_period").alias("latest_period"))
 
 
 def candidate_profile(df: DataFrame) -> DataFrame:
