@@ -170,11 +170,13 @@ def densify(df: DataFrame, calendar: DataFrame, single: tuple[str, ...] = ("lead
 
     days = calendar.select("t").distinct()
     ends = df.filter("v IS NOT NULL").groupBy("k").agg(F.min("t").alias("a"), F.max("t").alias("z"))
-    # A row for each series against the days of the calendar.
-    later = ends.join(days, F.col("t") >= F.col("z"), "left").groupBy("k", "a", "z").agg(F.min(F.when(F.col("t") > F.col("z"), F.col("t"))).alias("following"), F.max((F.col("t") == F.col("z")).cast("int")).alias("on"))
+    # The calendar day after each last date: one window over the dates, whatever the number of series.
+    marks = days.withColumn("day", F.col("t")).unionByName(ends.select(F.col("z").alias("t"), F.lit(None).cast("date").alias("day")).distinct())
+    dates = marks.groupBy("t").agg(F.max("day").alias("day")).withColumn("following", F.min("day").over(Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)))
+    later = ends.join(dates.select(F.col("t").alias("z"), "following", F.col("day").isNotNull().cast("int").alias("on")), "z", "left")
     named = F.col("k").isin(*single)
     end = F.when((F.dayofmonth("z") == 1) & (F.col("k") != single[0]), F.last_day("z")).when(named & (F.coalesce("on", F.lit(0)) == 0), F.coalesce("following", "z")).otherwise(F.col("z"))
-    targets = days.join(F.broadcast(later.select("k", "a", end.alias("end"))), F.col("t").between(F.col("a"), F.col("end"))).select("k", "t")
+    targets = later.withColumn("end", end).filter(F.col("end") >= F.col("a")).select("k", F.explode(F.sequence("a", "end")).alias("t")).join(days, "t", "left_semi").select("k", "t")
     return interpolate_time(df.select("k", "t", "v"), targets, carry=True)
 
 

@@ -123,7 +123,8 @@ def purged_holdout(signals: DataFrame, calendar: DataFrame, start: str, purge: i
     """Signals with their role: development ends some market days before the holdout begins, what lies between is purged."""
     days = calendar.select("t").distinct().withColumn("i", F.row_number().over(Window.orderBy("t")))
     first = days.filter(F.col("t") >= F.lit(start).cast("date")).agg(F.min("i").alias("first"))
-    rows = signals.join(F.broadcast(days), "t").join(F.broadcast(first))
+    # The second side is one number.
+    rows = signals.join(days, "t").join(F.broadcast(first))
     role = F.when(F.col("i") >= F.col("first"), "holdout").when(F.col("i") <= F.col("first") - purge - 1, "development").otherwise("purged")
     return rows.withColumn("role", role).drop("i", "first")
 
