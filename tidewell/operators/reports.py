@@ -111,11 +111,17 @@ def journal_quality(df: DataFrame, least: int = 8) -> DataFrame:
     return g.withColumn("status", F.when(F.col("n") < least, "collecting").when(F.col("skill") > 0, "usable").otherwise("weak"))
 
 
+#: How far a correction may go, by horizon; 0.1 for others.
+CORRECTION_CAPS = {5: 0.025, 10: 0.04, 20: 0.06, 63: 0.1, 126: 0.16}
+
+
 def robust_bias(samples: DataFrame, cap: float = 0.1) -> DataFrame:
     """By group: bias of errors (grp, error, weight, actual, direction, covered) without outliers, shrunk by the effective number of samples.
 
-    Outliers lie beyond 3.5 median deviations (0.025 at least); they stay if they are more than two fifths.
+    Outliers lie beyond 3.5 median deviations (0.025 at least); they stay if they are more than two fifths. Samples that have a ``momentum_error`` (null where
+    none is known) are held against momentum too, and those with a ``horizon``, the same in a group, have its cap. Then ``momentum_skill`` and ``eligible`` are told.
     """
+    momentum, horizons = "momentum_error" in samples.columns, "horizon" in samples.columns
     center = samples.groupBy("grp").agg(F.percentile("error", F.lit(0.5)).alias("center"), F.count("*").alias("all"))
     rows = samples.join(center, "grp").withColumn("off", F.abs(F.col("error") - F.col("center")))
     mad = rows.groupBy("grp").agg(F.greatest(F.percentile("off", F.lit(0.5)) * 3.5, F.lit(0.025)).alias("tolerance"))
@@ -127,16 +133,26 @@ def robust_bias(samples: DataFrame, cap: float = 0.1) -> DataFrame:
     g = used.groupBy("grp").agg(
         F.count("*").alias("n"), F.first("center").alias("center"), mean(F.col("error")).alias("mean"), (F.sum(w) ** 2 / F.sum(w * w)).alias("effective"), mean(F.col("direction").cast("double")).alias("accuracy"),
         mean(F.col("covered").cast("double")).alias("coverage"), mean(F.abs("error")).alias("mae"), mean(F.abs("actual")).alias("no_change"),
+        *([(F.sum(F.col("momentum_error") * w) / F.nullif(F.sum(F.when(F.col("momentum_error").isNotNull(), w)), F.lit(0))).alias("momentum")] if momentum else []), *([F.max("horizon").alias("horizon")] if horizons else []),
     )
     skill = F.when(F.col("no_change") > 1e-6, 1 - F.col("mae") / F.col("no_change")).otherwise(0.0)
     g = g.withColumn("skill", skill).withColumn("reliability", F.col("effective") / (F.col("effective") + 12)).withColumn("raw_bias", F.col("mean") * 0.65 + F.col("center") * 0.35)
     eligible = (F.col("effective") >= 3.5) & (F.col("accuracy") >= 0.45) & (F.col("skill") > -0.15)
-    quality = clamp((F.col("accuracy") - 0.35) / 0.25, 0, 1) * clamp((F.col("skill") + 0.15) / 0.3, 0.1, 1)
+    baseline = clamp((F.col("skill") + 0.15) / 0.3, 0.1, 1)
     penalty = F.greatest(F.lit(0.0), -F.col("skill")) * 0.75 + F.greatest(F.lit(0.0), 0.5 - F.col("accuracy")) * 1.2
+    if momentum:
+        # Without a momentum error there is nothing to be worse than.
+        known = F.col("momentum").isNotNull()
+        g = g.withColumn("momentum_skill", F.when(F.col("momentum") > 1e-6, 1 - F.col("mae") / F.col("momentum")).otherwise(0.0))
+        penalty = penalty + F.when(known, F.greatest(F.lit(0.0), -F.col("momentum_skill")) * 0.75).otherwise(0.0)
+        baseline = F.least(baseline, F.when(known, clamp((F.col("momentum_skill") + 0.15) / 0.3, 0.1, 1)).otherwise(1.0))
+        eligible = eligible & (~known | (F.col("momentum_skill") > -0.15))
+    quality = clamp((F.col("accuracy") - 0.35) / 0.25, 0, 1) * baseline
+    limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in CORRECTION_CAPS.items() for x in p]), F.col("horizon")), F.lit(cap)) if horizons else F.lit(cap)
     g = g.withColumn("confidence", clamp(1 - penalty * F.col("reliability"), 0.55, 1))
-    correction = clamp(F.when(eligible, F.col("raw_bias") * F.col("reliability") * quality).otherwise(0.0), -cap, cap)
+    correction = F.greatest(F.least(F.when(eligible, F.col("raw_bias") * F.col("reliability") * quality).otherwise(0.0), limit), -limit)
     interval = (1 + F.greatest(F.lit(0.0), 0.68 - F.col("coverage")) * 1.4 * F.col("reliability")) * (1 + (1 - F.col("confidence")) * 0.6)
-    return g.select("grp", "n", "raw_bias", "effective", "accuracy", "skill", "confidence", correction.alias("correction"), clamp(interval, 1, 1.9).alias("interval_scale"))
+    return g.select("grp", "n", "raw_bias", "effective", "accuracy", "skill", "confidence", correction.alias("correction"), clamp(interval, 1, 1.9).alias("interval_scale"), *(["momentum_skill", eligible.alias("eligible")] if momentum else []))
 
 
 SCENARIOS = ("downside", "sideways", "upside")

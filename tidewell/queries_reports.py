@@ -189,6 +189,22 @@ def _(s, d):
     return R.robust_bias(_samples(s, d))
 
 
+_MOMENTUM = f"""{_PAIRS}, samples AS (SELECT k * 1000 + horizon AS grp, horizon, after - actual AS error, 1 + year % 3 AS weight, actual, sign(after) = sign(actual) AS direction, abs(after - actual) < 0.3 AS covered, CASE WHEN k % 5 <> 0 AND year % 2 = 0 THEN abs(before - actual) END AS momentum_error FROM pairs),
+    c AS (SELECT grp, quantile_cont(error, 0.5) AS center, COUNT(*) AS al FROM samples GROUP BY 1), o AS (SELECT s.*, center, al, abs(error - center) AS off FROM samples s JOIN c USING (grp)), m AS (SELECT grp, greatest(quantile_cont(off, 0.5) * 3.5, 0.025) AS tol FROM o GROUP BY 1), i AS (SELECT o.*, off <= tol AS inside, SUM((off <= tol)::INT) OVER (PARTITION BY grp) >= ceil(al * 0.6) AS enough FROM o JOIN m USING (grp)),
+    g AS (SELECT grp, MAX(horizon) AS horizon, COUNT(*) AS n, MIN(center) AS center, SUM(error * weight) / SUM(weight) AS mean, SUM(weight) ** 2 / SUM(weight * weight) AS effective, SUM(direction::INT * weight) / SUM(weight) AS accuracy, SUM(covered::INT * weight) / SUM(weight) AS coverage, SUM(abs(error) * weight) / SUM(weight) AS mae, SUM(abs(actual) * weight) / SUM(weight) AS nc, SUM(momentum_error * weight) / SUM(weight) FILTER (momentum_error IS NOT NULL) AS mo FROM i WHERE inside OR NOT enough GROUP BY 1),
+    h AS (SELECT *, CASE WHEN nc > 1e-6 THEN 1 - mae / nc ELSE 0 END AS skill, CASE WHEN mo > 1e-6 THEN 1 - mae / mo ELSE 0 END AS momentum_skill, effective / (effective + 12) AS rel, mean * 0.65 + center * 0.35 AS raw_bias, CASE horizon WHEN 5 THEN 0.025 WHEN 20 THEN 0.06 ELSE 0.1 END AS cap FROM g),
+    q AS (SELECT *, greatest(least(1 - (greatest(0, -skill) * 0.75 + CASE WHEN mo IS NULL THEN 0 ELSE greatest(0, -momentum_skill) * 0.75 END + greatest(0, 0.5 - accuracy) * 1.2) * rel, 1), 0.55) AS confidence, effective >= 3.5 AND accuracy >= 0.45 AND skill > -0.15 AND (mo IS NULL OR momentum_skill > -0.15) AS eligible FROM h)
+    SELECT grp, n, eligible, {r6('raw_bias', 'effective', 'accuracy', 'skill', 'momentum_skill', 'confidence', 'greatest(least(CASE WHEN eligible THEN raw_bias * rel * greatest(least((accuracy - 0.35) / 0.25, 1), 0) * least(greatest(least((skill + 0.15) / 0.3, 1), 0.1), CASE WHEN mo IS NULL THEN 1 ELSE greatest(least((momentum_skill + 0.15) / 0.3, 1), 0.1) END) ELSE 0 END, cap), -cap) AS correction', 'greatest(least((1 + greatest(0, 0.68 - coverage) * 1.4 * rel) * (1 + (1 - confidence) * 0.6), 1.9), 1) AS interval_scale')} FROM q"""
+
+
+@query("a33_bias_against_momentum", f"WITH {_MOMENTUM}", ("price",))
+def _(s, d):
+    p = _pairs(s, d)
+    momentum = F.when((F.col("k") % 5 != 0) & (F.col("year") % 2 == 0), F.abs(F.col("before") - F.col("actual")))
+    rows = p.select((F.col("k") * 1000 + F.col("horizon")).alias("grp"), "horizon", (F.col("after") - F.col("actual")).alias("error"), (1 + F.col("year") % 3).alias("weight"), "actual", (F.signum("after") == F.signum("actual")).alias("direction"), (F.abs(F.col("after") - F.col("actual")) < 0.3).alias("covered"), momentum.alias("momentum_error"))
+    return R.robust_bias(rows)
+
+
 @query("m26_apply_calibration", f"WITH {_ROBUST} SELECT k, t, {r6('p.after - r.correction AS predicted', 'p.after - r.correction - 0.2 * interval_scale AS low', 'p.after - r.correction + 0.2 * interval_scale AS high')} FROM pairs p JOIN robust r ON r.grp = p.k WHERE horizon = 20", ("price",))
 def _(s, d):
     b = R.robust_bias(_samples(s, d)).withColumnRenamed("grp", "series")
