@@ -159,7 +159,6 @@ class JournalScorer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held, out = self._held(), []
-        timers = set(self.handle.listTimers())
         # Of one day forecasts come first; their targets lie ahead.
         for row in pd.concat(list(rows)).sort_values(["t", "is_price"], kind="stable").itertuples():
             t = str(row.t)[:10]
@@ -171,16 +170,23 @@ class JournalScorer(StatefulProcessor):
                 f = held.pop(name)
                 late = datetime.date.fromisoformat(t) - datetime.date.fromisoformat(f["target"]) > self.late
                 out.append(self._score(key[0], f, None if late else t, row.v))
-        for when in {self._expiry(f["target"]) for f in held.values()} - timers:
-            self.handle.registerTimer(when)
-        self.pending.update((json.dumps(held),))
+        self._keep(held)
         yield self._frame(out)
 
+    def _keep(self, held: dict[str, dict]) -> None:
+        """The forecasts that wait, and one timer: for the first that can be given up."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held:
+            self.handle.registerTimer(min(self._expiry(f["target"]) for f in held.values()))
+        self.pending.update((json.dumps(held),))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now, held = expiredTimerInfo.getExpiryTimeInMs(), self._held()
+        # All that the watermark has passed go at once, not those of this timer alone.
+        now, held = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), self._held()
         gone = [n for n, f in held.items() if self._expiry(f["target"]) <= now]
         out = [self._score(key[0], held.pop(n), None, None) for n in gone]
-        self.pending.update((json.dumps(held),))
+        self._keep(held)
         yield self._frame(out)
 
     def close(self) -> None:
