@@ -104,7 +104,7 @@ BEHAVIOR: Layers = [
     {
         "scale": "greatest(0.65, least(1.6, coalesce(vol_scale, 1.0)))", "link": "abs(coalesce(corr, 0.0))", "pull": "abs(coalesce(beta, 0.0))", "walk60": _unit("coalesce(efficiency60, 0.0)"), "walk120": _unit("coalesce(efficiency120, 0.0)"),
         "move60": "coalesce(change60, 0.0)", "move120": "coalesce(change120, 0.0)", "place": "coalesce(nullif(position120, 0.0), 0.5)",
-        **{f"annual{n}": f"CASE WHEN change{n} > -100 THEN (power(1 + change{n} / 100, 252.0 / {n}) - 1) * 100 END" for n in _HORIZONS},
+        **{f"annual{n}": f"CASE WHEN change{n} > -100 THEN (power(1 + change{n} / 100, CAST(252 AS DOUBLE) / {n}) - 1) * 100 END" for n in _HORIZONS},
     },
     {
         "magnitude": _unit("abs(move60) / greatest(12.0, 24 * scale) * 0.45 + abs(move120) / greatest(20.0, 42 * scale) * 0.55"), "direction": "move60 * 0.45 + move120 * 0.55", "persistence": _unit("walk60 * 0.45 + walk120 * 0.55"),
