@@ -327,7 +327,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     stars = keyed.mapInArrow(_all_buckets, _PAIR).groupBy("a", "b").agg(F.max("wide").alias("wide"))
     stars = materialized(stars, "near-stars")
     ids = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    held = materialized(texts(docs).filter(in_slots(ids)).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    held = materialized(in_slots(texts(docs), ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
 
     links = materialized(confirm(stars, held, n, percent), "near-links")
     label = materialized(components(links), "near-labels")
