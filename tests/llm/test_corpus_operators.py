@@ -464,3 +464,34 @@ def test_word_tables_follow_the_definition():
         span = slice(words.first[row], words.first[row + 1])
         assert [raw[a:b].decode() for a, b in zip(words.start[span], words.end[span], strict=True)] == WORDS.findall(t or "")
     assert html.unescape("&am") == "&am"
+
+
+def test_classes_nest_into_slots(spark):
+    """One place has a notice before the inner class's member and the text behind it: only the nested class tells them apart, as the frame stands around both."""
+    rows, want = [], {}
+    for i in range(12):
+        n = 3 + i % 3
+        head, foot = prose(3, 900 + i), prose(3, 950 + i)
+        if i < 8:
+            notes = "".join(f"<p><a href='/x'>{prose(7, 1000 + 10 * i + k)}</a></p>" for k in range(n))
+            text = [prose(9, 2000 + 10 * i + k) for k in range(2)]
+            inner = f"{notes}<h4>{prose(3, 40 + i)}</h4>" + "".join(f"<p>{x}</p>" for x in text)
+        else:
+            inner = f"<p>{prose(9, 3000 + i)}</p>"
+        rows.append((i, "http://nest.example/", f"<body><h5>{head}</h5><div>{inner}</div><h6>{foot}</h6>"))
+    pages = spark.createDataFrame([("h", i, page) for i, _, page in rows], "host string, page long, html string")
+    blocks = templates.page_blocks(pages).cache()
+    classes = templates.equivalence_classes(blocks)
+    cuts, behind = templates.nested(blocks, classes)
+    cuts = [r.asDict() for r in cuts.collect()]
+    assert {c["place"].split("/")[-1] for c in cuts if c["slot"] == templates.PAGE} == {"h5", "h6"}
+    (inner,) = [c for c in cuts if c["place"].endswith("/h4")]
+    template = templates.Template(cuts)
+    slots = {(r.page, r.pos): r.slot for r in behind.collect()}
+    for i, _, page in rows:
+        found = [(path, pos) for path, _, _, pos in templates.runs(page) if templates._role(path) >= 0]
+        got = template.slots([path for path, _ in found])
+        assert got[-1] != got[0] and all(slots.get((i, pos), slot) == slot for (_, pos), slot in zip(found, got, strict=True))
+        if i < 8:
+            at = next(k for k, (path, _) in enumerate(found) if path.endswith("/h4"))
+            assert inner["slot"] != templates.PAGE and not set(got[1:at]) & set(got[at + 1 : -1])

@@ -3,8 +3,8 @@
 Pages of one host come from templates. A page's tokens are its runs of text, each in its place: the path of block elements
 with their classes and ids. The places of a host are grouped by occurrence vector (how often they stand on which pages): an
 equivalence class. A class whose members stand once a page, on several pages, always in one order, is valid; the widest one
-is the host's frame. The frame cuts every page into slots, so that one place is told apart by the slot it stands in, and the
-other classes nest into the slots. Of each (slot, place) the template keeps how many words vary from page to page, and
+is the host's frame. The frame cuts every page into slots, and the other valid classes, also those that repeat on a page, nest
+into the slots and cut them further, so that one place is told apart by the innermost slot it stands in. Of each (slot, place) the template keeps how many words vary from page to page, and
 which texts don't vary: these are the template's own.
 
 A second pass extracts the slots: blocks of ``article`` and ``main`` elements where the page has them; else, from the page's
@@ -239,23 +239,63 @@ def equivalence_classes(blocks: DataFrame) -> DataFrame:
     return vectors.join(size, ["host", "class"]).select("host", "class", "place", "pages", "n", "at", "size")
 
 
+def valid_classes(blocks: DataFrame, classes: DataFrame) -> DataFrame:
+    """(host, class): classes on two pages at least whose members come in one order on all, on each page as often as the class stands there, round after round."""
+    found = blocks.select("host", "page", "place", "pos").join(classes.filter("pages >= 2").select("host", "place", "class", "size"), ["host", "place"])
+    order = found.groupBy("host", "class", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "place"))), lambda x: x["place"]).alias("order"), F.max("size").cast("int").alias("size"))
+    order = order.withColumn("once", F.expr("slice(order, 1, size)")).withColumn("rounds", F.expr("order = flatten(array_repeat(once, cast(size(order) DIV size AS int)))"))
+    return order.groupBy("host", "class").agg(F.min(F.hash("once")).alias("low"), F.max(F.hash("once")).alias("high"), F.min("rounds").alias("rounds")).filter("low = high AND rounds").select("host", "class")
+
+
 def frames(blocks: DataFrame, classes: DataFrame) -> DataFrame:
     """(host, place, at): the members of each host's frame, its widest valid class: once a page, on two pages at least, in one order on all."""
     once = classes.filter("pages >= 2 AND n = pages")
-    found = blocks.select("host", "page", "place", "pos").join(once.select("host", "place", "class"), ["host", "place"])
-    order = found.groupBy("host", "class", "page").agg(F.hash(F.transform(F.array_sort(F.collect_list(F.struct("pos", "place"))), lambda x: x["place"])).alias("order"))
-    valid = order.groupBy("host", "class").agg(F.min("order").alias("low"), F.max("order").alias("high")).filter("low = high")
+    valid = valid_classes(blocks, once)
     widest = once.join(valid, ["host", "class"]).groupBy("host").agg(F.max_by("class", F.struct("pages", "size", "class")).alias("class"))
     return once.join(widest, ["host", "class"]).select("host", "place", "at")
 
 
+#: The slot that a whole page is, before its frame cuts it.
+PAGE = 0
+
+
+def nested(blocks: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, slot, class, size, place): members of the valid classes and the slot that each class cuts; (host, page, pos, slot): slots behind members, from pos -1 on.
+
+    First the frame cuts the pages, then in every slot, round by round, those valid classes cut that stand in this slot alone on all their pages and are
+    the widest such there on each of them; so layouts that share no page go on together. A class that stands in several slots nests nowhere.
+    """
+    known = classes.join(valid_classes(blocks, classes), ["host", "class"]).select("host", "place", "class", "size", F.struct((F.col("n") == F.col("pages")).alias("once"), "pages", "size", "class").alias("rank"))
+    members = blocks.select("host", "page", "pos", "place").join(known, ["host", "place"]).select("host", "page", "pos", "place", "class", "size", "rank")
+    starts = blocks.select("host", "page").distinct().withColumn("pos", F.lit(-1))
+    now = materialized(members.unionByName(starts, allowMissingColumns=True).withColumn("slot", F.lit(PAGE).cast("long")).withColumn("open", F.col("class").isNotNull()), "template-nests")
+    cuts = now.filter("false").select("host", "slot", "class", "size", "place")
+    within = Window.partitionBy("host", "page", "slot")
+    while True:
+        one = now.filter("open").groupBy("host", "class").agg(F.min("slot").alias("low"), F.max("slot").alias("high")).filter("low = high").select("host", "class", F.lit(True).alias("inside"))
+        seen = now.join(one, ["host", "class"], "left").withColumn("inside", F.col("open") & F.coalesce("inside", F.lit(False)))
+        seen = seen.withColumn("cut", F.max(F.when(F.col("inside"), F.col("rank"))).over(within)["class"])
+        widest = seen.filter("inside").groupBy("host", "class").agg(F.min(F.col("cut") == F.col("class")).alias("all")).filter("all").select("host", F.col("class").alias("cut"), F.lit(True).alias("chosen"))
+        seen = seen.join(widest, ["host", "cut"], "left").withColumn("taken", F.coalesce(F.col("chosen") & F.col("open") & (F.col("class") == F.col("cut")), F.lit(False)))
+        passed = F.sum(F.col("taken").cast("long")).over(within.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+        width = F.max(F.when(F.col("taken"), F.col("size"))).over(within)
+        gap = F.when(passed > 0, (passed - 1) % width + 1).otherwise(F.lit(0).cast("long"))
+        seen = seen.withColumn("of", F.col("slot")).withColumn("slot", F.when(F.col("chosen"), F.xxhash64("slot", "cut", gap)).otherwise(F.col("slot"))).withColumn("open", F.col("open") & ~F.col("taken"))
+        now = materialized(seen.select("host", "page", "pos", "place", "class", "size", "rank", "slot", "open", "of", "taken"), "template-nests")
+        fresh = now.filter("taken").select("host", F.col("of").alias("slot"), "class", "size", "place").distinct()
+        if fresh.isEmpty():
+            return cuts, now.select("host", "page", "pos", "slot")
+        cuts, now = cuts.unionByName(fresh), now.drop("of", "taken")
+
+
 def templates(blocks: DataFrame) -> DataFrame:
-    """(host, frame, parts, own): the frame's places in order; (slot, place, words that vary on a page) of its parts; keys of texts of its own."""
+    """(host, cuts, parts, own): members of the nested classes with the slots that they cut; (slot, place, words that vary on a page) of its parts; keys of texts of its own."""
     classes = materialized(equivalence_classes(blocks), "template-classes")
-    frame = materialized(frames(blocks, classes), "template-frames")
-    member = blocks.join(frame.select("host", "place", F.lit(1).alias("member")), ["host", "place"], "left")
+    cuts, behind = nested(blocks, classes)
     inside = Window.partitionBy("host", "page").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    slotted = member.withColumn("slot", F.sum(F.coalesce("member", F.lit(0))).over(inside).cast("int"))
+    rows = blocks.withColumn("slot", F.lit(None).cast("long")).unionByName(behind, allowMissingColumns=True)
+    rows = rows.groupBy("host", "page", "pos").agg(*[F.max(c).alias(c) for c in ("place", "text", "words", "linked", "slot")])
+    slotted = rows.withColumn("slot", F.last("slot", ignorenulls=True).over(inside)).filter("pos >= 0")
     texts = slotted.groupBy("host", "slot", "place", "text", "page").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
     texts = texts.groupBy("host", "slot", "place", "text").agg(F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
     # A text is the template's own where half of the pages that have its place, and four at least, have it there.
@@ -266,17 +306,50 @@ def templates(blocks: DataFrame) -> DataFrame:
     weight = F.when((2 * F.col("linked") >= F.col("n")) | (2 * F.col("same") > F.col("n")), 0.0).otherwise(F.col("words") / F.col("of"))
     known = parts.filter("of >= 2").groupBy("host").agg(F.collect_list(F.struct("slot", "place", weight.alias("weight"))).alias("parts"))
     own = texts.filter("own").groupBy("host").agg(F.collect_set("text").alias("own"))
-    order = frame.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "place"))), lambda x: x["place"]).alias("frame"))
-    return known.join(own, "host", "left").join(order, "host", "left").select("host", "frame", "parts", "own")
+    cut = cuts.groupBy("host").agg(F.collect_list(F.struct("slot", "place", "class", "size")).alias("cuts"))
+    return known.join(own, "host", "left").join(cut, "host", "left").select("host", "cuts", "parts", "own")
+
+
+def _child(slot: int, name: int, gap: int) -> int:
+    """The slot's name, as Spark's xxhash64 of the three gives it."""
+    seed = 42
+    for x in (slot, name, gap):
+        seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
 
 
 class Template:
     """A host's template as tasks use it."""
 
-    def __init__(self, frame=None, parts=None, own=None):
-        self.frame = frozenset(frame or ())
+    def __init__(self, cuts=None, parts=None, own=None):
+        self.cuts = {(c["slot"], c["place"]): (c["class"], c["size"]) for c in cuts or ()}
         self.weight = {(p["slot"], p["place"]): p["weight"] for p in parts or ()}
         self.own = frozenset(own or ())
+        self._children: dict[tuple[int, int, int], int] = {}
+
+    def slots(self, places: list[str]) -> list[int]:
+        """The innermost slot of each of a page's places, given in their order."""
+        out = [PAGE] * len(places)
+        work = [(PAGE, list(range(len(places))))] if self.cuts else []
+        while work:
+            slot, at = work.pop()
+            found = [self.cuts.get((slot, places[i])) for i in at]
+            cut = next((x for x in found if x), None)
+            if cut is None:
+                continue
+            passed, gaps = 0, {}
+            for i, x in zip(at, found, strict=True):
+                passed += x == cut
+                gaps.setdefault((passed - 1) % cut[1] + 1 if passed else 0, []).append(i)
+            for gap, inner in gaps.items():
+                key = (slot, cut[0], gap)
+                child = self._children.get(key)
+                if child is None:
+                    child = self._children[key] = _child(*key)
+                for i in inner:
+                    out[i] = child
+                work.append((child, inner))
+        return out
 
 
 def _core(free: list[tuple[str, float]]) -> str:
@@ -300,13 +373,8 @@ def _core(free: list[tuple[str, float]]) -> str:
 def main_text(page: str, template: Template | None = None) -> str:
     """The blocks of a page's main text, in order."""
     known = template or Template()
-    blocks, slot = [], 0
-    for path, text, links, _ in runs(page):
-        role = _role(path)
-        if role < 0:
-            continue
-        slot += path in known.frame
-        blocks.append((path, text, links, role, slot))
+    found = [(path, text, links, role) for path, text, links, _ in runs(page) if (role := _role(path)) >= 0]
+    blocks = [(*b, slot) for b, slot in zip(found, known.slots([b[0] for b in found]), strict=True)]
     if out := [text for _, text, _, role, _ in blocks if role == 1]:
         return "\n".join(out)
     plain = [b for b in blocks if 2 * b[2] < len(b[1])]
@@ -329,7 +397,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", host(F.col("url")))
-    blocks = materialized(page_blocks(rows.select("host", F.xxhash64("page_id", "url").alias("page"), "html")), "template-blocks")
+    blocks = materialized(page_blocks(rows.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")), "template-blocks")
     found = materialized(templates(blocks), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,5 +415,5 @@ def extracted(pages: DataFrame) -> DataFrame:
                 sizes = np.array([len(t) for t in texts], np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(sizes)], names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(found, "host", "left").select("page_id", "url", "host", "html", "frame", "parts", "own")
+    joined = rows.join(found, "host", "left").select("page_id", "url", "host", "html", "cuts", "parts", "own")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
