@@ -266,10 +266,11 @@ def nested(blocks: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]
     the widest such there on each of them; so layouts that share no page go on together. A class that stands in several slots nests nowhere.
     """
     known = classes.join(valid_classes(blocks, classes), ["host", "class"]).select("host", "place", "class", "size", F.struct((F.col("n") == F.col("pages")).alias("once"), "pages", "size", "class").alias("rank"))
-    members = blocks.select("host", "page", "pos", "place").join(known, ["host", "place"]).select("host", "page", "pos", "place", "class", "size", "rank")
+    known = materialized(known, "template-valid")
+    members = blocks.select("host", "page", "pos", "place").join(known, ["host", "place"]).select("host", "page", "pos", "class", "rank")
     starts = blocks.select("host", "page").distinct().withColumn("pos", F.lit(-1))
     now = materialized(members.unionByName(starts, allowMissingColumns=True).withColumn("slot", F.lit(PAGE).cast("long")).withColumn("open", F.col("class").isNotNull()), "template-nests")
-    cuts = now.filter("false").select("host", "slot", "class", "size", "place")
+    cuts = now.filter("false").select("host", "slot", "class")
     within = Window.partitionBy("host", "page", "slot")
     while True:
         one = now.filter("open").groupBy("host", "class").agg(F.min("slot").alias("low"), F.max("slot").alias("high")).filter("low = high").select("host", "class", F.lit(True).alias("inside"))
@@ -278,12 +279,13 @@ def nested(blocks: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]
         widest = seen.filter("inside").groupBy("host", "class").agg(F.min(F.col("cut") == F.col("class")).alias("all")).filter("all").select("host", F.col("class").alias("cut"), F.lit(True).alias("chosen"))
         seen = seen.join(widest, ["host", "cut"], "left").withColumn("taken", F.coalesce(F.col("chosen") & F.col("open") & (F.col("class") == F.col("cut")), F.lit(False)))
         passed = F.sum(F.col("taken").cast("long")).over(within.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-        width = F.max(F.when(F.col("taken"), F.col("size"))).over(within)
+        width = F.max(F.when(F.col("taken"), F.col("rank")["size"])).over(within)
         gap = F.when(passed > 0, (passed - 1) % width + 1).otherwise(F.lit(0).cast("long"))
         seen = seen.withColumn("of", F.col("slot")).withColumn("slot", F.when(F.col("chosen"), F.xxhash64("slot", "cut", gap)).otherwise(F.col("slot"))).withColumn("open", F.col("open") & ~F.col("taken"))
-        now = materialized(seen.select("host", "page", "pos", "place", "class", "size", "rank", "slot", "open", "of", "taken"), "template-nests")
-        fresh = now.filter("taken").select("host", F.col("of").alias("slot"), "class", "size", "place").distinct()
+        now = materialized(seen.select("host", "page", "pos", "class", "rank", "slot", "open", "of", "taken"), "template-nests")
+        fresh = now.filter("taken").select("host", F.col("of").alias("slot"), "class").distinct()
         if fresh.isEmpty():
+            cuts = cuts.join(known.select("host", "class", "size", "place"), ["host", "class"]).select("host", "slot", "class", "size", "place")
             return cuts, now.select("host", "page", "pos", "slot")
         cuts, now = cuts.unionByName(fresh), now.drop("of", "taken")
 
