@@ -224,6 +224,11 @@ def _pairs(a: np.ndarray, b: np.ndarray, kind: np.ndarray, wide: np.ndarray) ->
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a, b, kind, wide.astype(np.int32))], names=["a", "b", "kind", "wide"])
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the distinct ``ids``, a row each. The join is an inner one: Spark moves a semi join below the filter by slots, so that all texts would be shuffled."""
+    return in_slots(texts(docs), ids).join(ids, "doc_id").dropDuplicates(["doc_id"])
+
+
 def confirm(pairs: DataFrame, held: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough: 100 * intersection >= percent * union."""
 
@@ -327,7 +332,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     stars = keyed.mapInArrow(_all_buckets, _PAIR).groupBy("a", "b").agg(F.max("wide").alias("wide"))
     stars = materialized(stars, "near-stars")
     ids = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    held = materialized(in_slots(texts(docs), ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    held = materialized(texts_of(docs, ids), "near-texts")
 
     links = materialized(confirm(stars, held, n, percent), "near-links")
     label = materialized(components(links), "near-labels")
