@@ -495,3 +495,39 @@ def test_classes_nest_into_slots(spark):
         if i < 8:
             at = next(k for k, (path, _) in enumerate(found) if path.endswith("/h4"))
             assert inner["slot"] != templates.PAGE and not set(got[1:at]) & set(got[at + 1 : -1])
+
+
+def test_templates_come_from_distinct_layouts(spark, monkeypatch):
+    """Nesting wrote every page's runs once a round (op1, 2.5 x input): pages of one layout count, but go through it once."""
+    rows, want = plain_host(40)
+    rows = [(i, url, html + "<p>last" * (i % 2)) for i, url, html in rows] + [(7, "http://plain.example/7", rows[7][2] + "<p>last")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    hosted = spark.createDataFrame([("h", i, html) for i, (_, _, html) in enumerate(rows)], "host string, page long, html string")
+    laid = templates.layouts(templates.page_rows(hosted))
+    assert sorted(r.copies for r in laid.collect()) == [20, 22]
+    classes = [templates.equivalence_classes(blocks) for blocks in (templates.places(laid), templates.page_blocks(hosted))]
+    one, other = (sorted((r.place, r.pages, r.n, r.size, round(r["at"], 9)) for r in x.collect()) for x in classes)
+    assert one == other and len(one) == 4
+    alike = lambda x: {frozenset(r.place for r in x if r["class"] == c) for c in {r["class"] for r in x}}
+    assert alike(classes[0].collect()) == alike(classes[1].collect())
+    sizes, write = [], templates.materialized
+
+    def counted(df, purpose):
+        out = write(df, purpose)
+        sizes.append((purpose, out.count()))
+        return out
+
+    monkeypatch.setattr(templates, "materialized", counted)
+    got = templates.extracted(pages).collect()
+    assert len(got) == 42 and all(r.text.startswith(want[r.page_id]) for r in got)
+    assert max(n for purpose, n in sizes if purpose != "template-pages") < len(rows)
+
+
+def test_texts_of_parts_count_pages_once():
+    import pyarrow as pa
+
+    lists = {"parts": [[1, 1, 2, 1], [1, 2], [], [2, 1]], "of": [[4, 4, 9, 4], [4, 9], [], [9, 4]], "texts": [[5, 5, 5, 6], [5, 5], [], [6, 5]], "words": [[3, 3, 3, 1], [3, 3], [], [1, 3]], "linked": [[1, 0, 0, 1], [0, 0], [], [1, 0]]}
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())) for x in lists.values()], names=list(lists))
+    (got,) = templates._part_texts(iter([batch]))
+    assert [tuple(r.values()) for r in got.to_pylist()] == [(1, 5, 4, 3, 4, 12, 1), (1, 6, 4, 1, 1, 1, 1), (2, 5, 9, 2, 2, 6, 0), (2, 6, 9, 1, 1, 1, 1)]
+    assert sum(r["n"] for b in templates._part_texts(iter([batch.slice(1)])) for r in b.to_pylist()) == 4

@@ -12,8 +12,9 @@ root, it goes down to the part that holds the words that vary, by the template's
 without places for links. Elements such as ``nav`` or ``footer``, and classes and ids named so, never hold main text; names
 for main text only break ties. A page of an unknown layout is judged by its own words, so hosts may have any number of layouts.
 
-Vectors are kept as page count, sum and an order-free hash, and everything is grouped by page or summed by task first, so no
-host's pages are ever gathered. A host's template grows with the variety of its markup, not with its pages.
+Pages whose places are equal, one by one, have one layout: classes and slots are found on each host's distinct layouts, which count
+as their pages. Vectors are kept as page count, sum and an order-free hash, and everything is grouped by page or summed by task first,
+so no host's pages are ever gathered. A host's template grows with the variety of its markup, not with its pages.
 
 Defined results: a null or empty page, or one without main text, gives the empty text. Pages are treated one by one, equal
 or not; broken markup is read as browsers do (an open paragraph ends where the next begins, what is left open ends with the
@@ -207,34 +208,58 @@ def text_key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
 
 
-#: A row for each run of text of a page.
-_BLOCK = "host string, page long, pos int, place string, text long, words int, linked int"
+#: A row for each page; its runs of text in their order, in lists. layout names the list of their places, by 128 bits.
+_PAGE_ROW = "host string, layout binary, places array<string>, texts array<long>, words array<int>, linked array<int>"
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """The runs of text of all pages (host, page, html), in their places."""
+def page_rows(pages: DataFrame) -> DataFrame:
+    """The places of all pages (host, html) and what stands in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32())
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32())
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                out = [
-                    (name, number, pos, path, text_key(text), text.count(" ") + 1, int(2 * links >= len(text)))
-                    for name, number, page in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
-                    for path, text, links, pos in runs(page or "")
-                    if _role(path) >= 0
-                ]
-                columns = list(zip(*out, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
+                found = [[(path, text_key(text), text.count(" ") + 1, int(2 * links >= len(text))) for path, text, links, _ in runs(page or "") if _role(path) >= 0] for page in batch.column(1).to_pylist()]
+                first = pa.array(np.append(0, np.cumsum([len(f) for f in found])), pa.int32())
+                columns = list(zip(*(x for f in found for x in f), strict=True)) or [()] * 4
+                lists = [pa.ListArray.from_arrays(first, pa.array(c, k)) for c, k in zip(columns, kinds, strict=True)]
+                layout = pa.array([xxhash.xxh3_128_digest("\n".join([str(len(f)), *(path for path, *_ in f)]).encode()) for f in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), layout, *lists], names=[c.split()[0] for c in _PAGE_ROW.split(", ")])
+
+    return pages.select("host", "html").mapInArrow(run, _PAGE_ROW)
+
+
+def layouts(rows: DataFrame) -> DataFrame:
+    """(host, page, places, copies): each host's distinct lists of places, and on how many pages each stands."""
+    return rows.groupBy("host", F.col("layout").alias("page"), "places").agg(F.count("*").alias("copies"))
+
+
+def places(pages: DataFrame) -> DataFrame:
+    """(host, page, copies, pos, place): the places of distinct layouts, each of which counts as so many pages."""
+    return pages.select("host", "page", "copies", F.posexplode("places").alias("pos", "place"))
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """The places of all pages (host, page, html), each a layout of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[path for path, *_ in runs(page or "") if _role(path) >= 0] for page in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string())), pa.array([1] * len(found), pa.int64())], names=["host", "page", "places", "copies"])
 
-    return pages.mapInArrow(run, _BLOCK)
+    return places(pages.mapInArrow(run, "host string, page long, places array<string>, copies long"))
 
 
 def equivalence_classes(blocks: DataFrame) -> DataFrame:
-    """(host, class, place, pages, n, at, size): places with their class, named by the hash of its occurrence vector; at: mean position; size: members."""
-    counts = blocks.groupBy("host", "page", "place").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    vectors = counts.groupBy("host", "place").agg(F.count("*").alias("pages"), F.sum("n").alias("n"), F.avg("pos").alias("at"), F.bit_xor(F.xxhash64("page", "n")).alias("class"))
+    """(host, class, place, pages, n, at, size): places with their class, named by the hash of its occurrence vector; at: mean position; size: members.
+
+    A place stands equally often on all pages of a layout, so that layouts tell vectors apart as pages do.
+    """
+    counts = blocks.groupBy("host", "page", "place").agg(F.max("copies").alias("copies"), F.count("*").alias("n"), F.min("pos").alias("pos"))
+    vectors = counts.groupBy("host", "place").agg(
+        F.sum("copies").alias("pages"), F.sum(F.col("n") * F.col("copies")).alias("n"), (F.sum(F.col("pos") * F.col("copies")) / F.sum("copies")).alias("at"), F.bit_xor(F.xxhash64("page", "n")).alias("class")
+    )
     size = vectors.groupBy("host", "class").agg(F.count("*").alias("size"))
     return vectors.join(size, ["host", "class"]).select("host", "class", "place", "pages", "n", "at", "size")
 
@@ -290,26 +315,55 @@ def nested(blocks: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]
         cuts, now = cuts.unionByName(fresh), now.drop("of", "taken")
 
 
-def templates(blocks: DataFrame) -> DataFrame:
+def _part_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pages as lists (parts, of, texts, words, linked): a row for each part and text of a batch, pages: on how many of its pages it stands."""
+    names = ("part", "text", "of", "pages", "n", "words", "linked")
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            batch = whole.slice(at, 4096)
+            page = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(0).offsets.to_numpy()))
+            if not len(page):
+                continue
+            part, of, text, words, linked = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
+            order = np.lexsort((page, text, part))
+            page, part, of, text, words, linked = (x[order] for x in (page, part, of, text, words, linked))
+            new = np.ones(len(page), bool)
+            new[1:] = (part[1:] != part[:-1]) | (text[1:] != text[:-1])
+            other = new.copy()
+            other[1:] |= page[1:] != page[:-1]
+            start = np.flatnonzero(new)
+            sums = (np.add.reduceat(x.astype(np.int64), start) for x in (other, np.ones(len(page)), words, linked))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part[new], text[new], of[new], *sums)], names=names)
+
+
+def templates(rows: DataFrame) -> DataFrame:
     """(host, cuts, parts, own): members of the nested classes with the slots that they cut; (slot, place, words that vary on a page) of its parts; keys of texts of its own."""
+    distinct = materialized(layouts(rows), "template-layouts")
+    blocks = places(distinct)
     classes = materialized(equivalence_classes(blocks), "template-classes")
     cuts, behind = nested(blocks, classes)
     inside = Window.partitionBy("host", "page").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = blocks.withColumn("slot", F.lit(None).cast("long")).unionByName(behind, allowMissingColumns=True)
-    rows = rows.groupBy("host", "page", "pos").agg(*[F.max(c).alias(c) for c in ("place", "text", "words", "linked", "slot")])
-    slotted = rows.withColumn("slot", F.last("slot", ignorenulls=True).over(inside)).filter("pos >= 0")
-    texts = slotted.groupBy("host", "slot", "place", "text", "page").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
-    texts = texts.groupBy("host", "slot", "place", "text").agg(F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
+    slotted = blocks.withColumn("slot", F.lit(None).cast("long")).unionByName(behind, allowMissingColumns=True)
+    slotted = slotted.groupBy("host", "page", "pos").agg(F.max("place").alias("place"), F.max("slot").alias("slot"))
+    slotted = materialized(slotted.withColumn("slot", F.last("slot", ignorenulls=True).over(inside)).filter("pos >= 0"), "template-slots")
+    # A part is a place in a slot. It has a number, and each layout the list of its parts.
+    named = slotted.select("host", "slot", "place").distinct().join(classes.select("host", "place", F.col("pages").alias("of")), ["host", "place"])
+    named = materialized(named.withColumn("part", F.monotonically_increasing_id()), "template-parts")
+    listed = slotted.join(named, ["host", "slot", "place"]).groupBy("host", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "of"))).alias("at"))
+    listed = materialized(listed.select("host", F.col("page").alias("layout"), F.col("at")["part"].alias("parts"), F.col("at")["of"].alias("of")), "template-lists")
+    texts = rows.select("host", "layout", "texts", "words", "linked").join(listed, ["host", "layout"]).select("parts", "of", "texts", "words", "linked")
+    texts = texts.mapInArrow(_part_texts, "part long, text long, of long, pages long, n long, words long, linked long")
+    texts = texts.groupBy("part", "text").agg(F.max("of").alias("of"), *[F.sum(c).alias(c) for c in ("pages", "n", "words", "linked")])
     # A text is the template's own where half of the pages that have its place, and four at least, have it there.
-    texts = texts.join(classes.select("host", "place", F.col("pages").alias("of")), ["host", "place"]).withColumn("own", (F.col("of") >= 4) & (2 * F.col("pages") >= F.col("of")))
-    parts = texts.groupBy("host", "slot", "place").agg(
-        F.max("of").alias("of"), F.sum(F.when(F.col("own"), 0).otherwise(F.col("words"))).alias("words"), F.sum("n").alias("n"), F.sum("linked").alias("linked"), F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("same")
-    )
+    texts = texts.withColumn("own", (F.col("of") >= 4) & (2 * F.col("pages") >= F.col("of")))
+    parts = texts.groupBy("part").agg(
+        F.max("of").alias("of"), F.sum(F.when(F.col("own"), 0).otherwise(F.col("words"))).alias("words"), F.sum("n").alias("n"), F.sum("linked").alias("linked"), F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("same"),
+        F.collect_set(F.when(F.col("own"), F.col("text"))).alias("own"),
+    )
     weight = F.when((2 * F.col("linked") >= F.col("n")) | (2 * F.col("same") > F.col("n")), 0.0).otherwise(F.col("words") / F.col("of"))
-    known = parts.filter("of >= 2").groupBy("host").agg(F.collect_list(F.struct("slot", "place", weight.alias("weight"))).alias("parts"))
-    own = texts.filter("own").groupBy("host").agg(F.collect_set("text").alias("own"))
+    known = parts.filter("of >= 2").join(named.drop("of"), "part").groupBy("host").agg(F.collect_list(F.struct("slot", "place", weight.alias("weight"))).alias("parts"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
     cut = cuts.groupBy("host").agg(F.collect_list(F.struct("slot", "place", "class", "size")).alias("cuts"))
-    return known.join(own, "host", "left").join(cut, "host", "left").select("host", "cuts", "parts", "own")
+    return known.join(cut, "host", "left").select("host", "cuts", "parts", "own")
 
 
 def _child(slot: int, name: int, gap: int) -> int:
@@ -399,8 +453,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", host(F.col("url")))
-    blocks = materialized(page_blocks(rows.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")), "template-blocks")
-    found = materialized(templates(blocks), "templates")
+    found = materialized(templates(materialized(page_rows(rows), "template-pages")), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Template] = {}
