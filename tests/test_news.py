@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -72,3 +73,37 @@ def test_normalised_headlines(spark):
     cases = ["[속보] (종합) “삼성” ＡＢＣ １２３!", "[a] [b] [c] [d] x", "(" + "x" * 30 + ") y", "  ", None, "it's A-b"]
     got = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "x string").select(text.normalize_headline(F.col("x"))).collect()]
     assert got == ["삼성 abc 123", "d x", "x" * 30 + " y", "", None, "its a b"]
+
+
+def test_many_similar_headlines_of_a_day(spark):
+    """Each is like all others: pairs would be 18 million."""
+    rows = spark.range(6000).select(F.lit("x").alias("k"), F.date_add(F.lit(D), (F.col("id") % 2).cast("int")).alias("t"), F.concat(F.lit("steel order worth about "), F.col("id") + 10).alias("title"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    began = time.monotonic()
+    got = [(r.t, r.title, r.size, sorted(r.sources)) for r in news.cluster_news(rows, 2).collect()]
+    assert got == [(D + dt.timedelta(days=1), "steel order worth about 1001", 100, ["s0", "s1", "s2"])]
+    assert time.monotonic() - began < 60
+
+
+def test_headlines_without_a_word_stay_alone(spark):
+    rows = [(1, D, "[News] !", "a"), (1, D, "[News] !", "b"), (1, D, "?", "a"), (1, D - dt.timedelta(days=1), "?", "a"), (1, D, "steel rises today", "a"), (1, D, "Steel rises today!", "b")]
+    got = sorted((x.k, x.t, x.title, x.size, tuple(sorted(x.sources))) for x in news.cluster_news(spark.createDataFrame(rows, "k int, t date, title string, source string"), 2).collect())
+    assert got == clusters(rows, 2) and len(got) == 5
+
+
+def test_likeness_of_the_walk_equals_that_of_columns(spark):
+    r = random.Random(3)
+    words = "steel mill up a 포스코 order 12 today orders".split()
+    pairs = [tuple(r.choice(["", " "]).join(r.choice(words) for _ in range(r.randint(0, 6))) for _ in range(2)) for _ in range(400)]
+    a, b = F.col("a"), F.col("b")
+    found = spark.createDataFrame(pairs, "a string, b string").select(a, b, text.likeness(a, b, text.headline_words(a), text.headline_words(b)).alias("x")).collect()
+    assert all(news.likeness(news.Headline(x.a), news.Headline(x.b)) == x.x for x in found) and len({x.x for x in found}) > 4
+
+
+@pytest.mark.parametrize("days", [0, 3])
+def test_clusters_that_close_and_open_again(spark, days):
+    r = random.Random(10 + days)
+    words = "steel mill profit rises falls quarter record".split()
+    rows = [(r.randint(1, 2), D + dt.timedelta(days=r.choice([0, 1, 2, 3, 4, 5, 9, 10, 14])), " ".join(r.choice(words) for _ in range(r.randint(1, 4))), r.choice("ab")) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k int, t date, title string, source string").repartition(5)
+    got = sorted((x.k, x.t, x.title, x.size, tuple(sorted(x.sources))) for x in news.cluster_news(df, days).collect())
+    assert got == clusters(rows, days)
