@@ -404,8 +404,9 @@ def _(s, d):
     q AS (SELECT * FROM r WHERE score >= 120 QUALIFY score = MAX(score) OVER (PARTITION BY market, code)) SELECT market, code, MAX(ccode) AS alias, CAST(MAX(score) AS INT) AS score FROM q GROUP BY 1, 2 HAVING COUNT(*) = 1""",
 )
 def _(s, d):
-    left = P.table(s, d, "supplier").select(F.col("s_nationkey").alias("market"), F.lpad((F.col("s_suppkey") * 13 % 1000).cast("string"), 6, "0").alias("code"), F.substring("s_name", -3, 3).alias("name"))
-    cands = P.table(s, d, "customer").select(F.col("c_nationkey").alias("market"), F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("code"), F.substring("c_name", -3, 3).alias("name"))
+    six = lambda x: F.when(x.isNotNull(), F.format_string("%06d", x))
+    left = P.table(s, d, "supplier").select(F.col("s_nationkey").alias("market"), six(F.col("s_suppkey") * 13 % 1000).alias("code"), F.substring("s_name", -3, 3).alias("name"))
+    cands = P.table(s, d, "customer").select(F.col("c_nationkey").alias("market"), six(F.col("c_custkey")).alias("code"), F.substring("c_name", -3, 3).alias("name"))
     return N.match_aliases(left, cands)
 
 
